@@ -12,8 +12,8 @@ from tallyward.operators.ranking import running_totals
 from tallyward.settings import ACTIONS, APPROVE, BLOCK, REVIEW, CostModel
 
 
-def money_sum(condition: Column, amount: Column = F.col("amount")) -> Column:
-    return F.coalesce(F.sum(F.when(condition, cents(amount))), F.lit(0)) / F.lit(100.0)
+def money_sum(condition: Column, amount: str = "amount") -> Column:
+    return F.coalesce(F.sum(F.when(condition, cents(F.col(amount)))), F.lit(0)) / F.lit(100.0)
 
 
 def count_where(condition: Column) -> Column:
