@@ -14,6 +14,7 @@ from tallyward.sources.tables import lineitem_transactions, stream_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
+NUDGE = 1e-10
 
 # A short layout for the 30-day event stream; order lines use the default layout.
 STREAM_SPLITS = split_layout(
@@ -22,10 +23,14 @@ STREAM_SPLITS = split_layout(
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round doubles for comparison; adding zero turns a negative zero into zero."""
+    """Round doubles for comparison.
+
+    Ties such as 0.0000005 have no exact binary form and engines break them differently, so a nudge
+    far below the last digit moves them off the edge. Adding zero drops the sign of a zero.
+    """
     return df.select(
         *[
-            (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+            (F.round(F.col(f.name) + F.lit(NUDGE), digits) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema.fields
@@ -34,7 +39,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def rounded_sql(sql: str, doubles: Sequence[str], digits: int = DIGITS) -> str:
-    swaps = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles)
+    swaps = ", ".join(f"round(CAST({c} AS DOUBLE) + {NUDGE!r}, {digits}) + 0.0 AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({swaps}) FROM ({sql}) AS result"
 
 

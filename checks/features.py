@@ -117,15 +117,24 @@ shop_marks AS (
   SELECT merchant_id, ms // 86400000 AS d, 0 AS n, 0 AS f, txn_id FROM txns
   UNION ALL SELECT merchant_id, label_ms // 86400000, 1, CAST(is_fraud AS INT), NULL FROM labels
 ),
+shop_days AS (SELECT merchant_id, d, sum(n) AS n, sum(f) AS f FROM shop_marks GROUP BY ALL),
+shop_sums AS (
+  SELECT merchant_id, d,
+    CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS merchant_known_labels,
+    CAST(coalesce(sum(f) OVER w, 0) AS BIGINT) AS known_frauds
+  FROM shop_days
+  WINDOW w AS (PARTITION BY merchant_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+all_days AS (SELECT d, sum(n) AS n, sum(f) AS f FROM shop_marks GROUP BY d),
+all_sums AS (
+  SELECT d, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS all_n,
+         CAST(coalesce(sum(f) OVER w, 0) AS BIGINT) AS all_f
+  FROM all_days WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
 shop_known AS (
-  SELECT txn_id,
-    CAST(coalesce(sum(n) OVER (PARTITION BY merchant_id ORDER BY d
-      RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS merchant_known_labels,
-    coalesce(sum(f) OVER (PARTITION BY merchant_id ORDER BY d
-      RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known_frauds,
-    coalesce(sum(n) OVER (ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS all_n,
-    coalesce(sum(f) OVER (ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS all_f
-  FROM shop_marks
+  SELECT txn_id, merchant_known_labels, known_frauds, all_n, all_f
+  FROM shop_marks JOIN shop_sums USING (merchant_id, d) JOIN all_sums USING (d)
+  WHERE txn_id IS NOT NULL
 ),
 labelled AS (
   SELECT features.*, card_prior_fraud_labels, merchant_known_labels,
@@ -133,7 +142,7 @@ labelled AS (
                                   / (merchant_known_labels + 100.0) END AS merchant_known_fraud_rate
   FROM features
   JOIN (SELECT * FROM card_known WHERE txn_id IS NOT NULL) USING (txn_id)
-  JOIN (SELECT * FROM shop_known WHERE txn_id IS NOT NULL) USING (txn_id)
+  JOIN shop_known USING (txn_id)
 )"""
 
 
