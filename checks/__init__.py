@@ -1,5 +1,5 @@
 """Registered queries over the provided tables, each with the SQL that must agree with it."""
 
-from checks import features, preparation
+from checks import features, preparation, reports
 
-ALL = (preparation, features)
+ALL = (preparation, features, reports)
