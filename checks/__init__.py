@@ -1,5 +1,5 @@
 """Registered queries over the provided tables, each with the SQL that must agree with it."""
 
-from checks import features, preparation, reports
+from checks import features, policy, preparation, reports
 
-ALL = (preparation, features, reports)
+ALL = (preparation, features, reports, policy)
