@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tallyward.operators import policy
 from tallyward.operators.rules import apply_rules, fit_thresholds
 from tallyward.plans.rules_baseline import rule_frame
 from tallyward.plans.sweep import run_policy_sweep
+from tallyward.session import materialize
 from tallyward.settings import CostModel, Overrides, PolicySettings
 
 COSTS = CostModel()
@@ -167,7 +169,7 @@ def _tuning_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def threshold_losses(spark: SparkSession, sf: str) -> DataFrame:
-    priced = policy.with_expected_costs(_tuning_rows(spark, sf), COSTS)
+    priced = materialize(policy.with_expected_costs(_tuning_rows(spark, sf), COSTS))
     grid = policy.benefit_grid(priced, CANDIDATES)
     return rounded(policy.threshold_losses(priced, grid, BUDGETS), 3)
 
@@ -197,7 +199,7 @@ THRESHOLDS_SQL = rounded_sql(
 
 def probability_losses(spark: SparkSession, sf: str) -> DataFrame:
     """Every ordered pair of thresholds; "never" is written as 2."""
-    tune = _tuning_rows(spark, sf)
+    tune = materialize(_tuning_rows(spark, sf))
     grid = policy.probability_grid(tune, LEVELS)
     out = policy.probability_losses(tune, COSTS, grid, BUDGETS)
     return rounded(
@@ -271,7 +273,7 @@ SUMMARY_SQL = rounded_sql(
 
 def cost_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     """Expected cost of the decisions under every cost variant, at one threshold."""
-    base = rows(spark, sf)
+    base = materialize(rows(spark, sf))
     parts = []
     for name, variant in policy.cost_variants(COSTS):
         decided = policy.decide_by_expected_loss(
@@ -335,13 +337,55 @@ def policy_sweep(spark: SparkSession, sf: str) -> DataFrame:
     settings = PolicySettings(
         reviews_per_day=BUDGET, review_budget_sweep=(0, 2, 10), threshold_candidates=CANDIDATES
     )
-    frame = rule_frame(li(spark, sf))
+    frame = materialize(rule_frame(li(spark, sf)))
     flagged = apply_rules(frame, fit_thresholds(frame.filter(F.col("split") == "train")))
-    result = run_policy_sweep(rows(spark, sf), flagged, costs=COSTS, policy=settings)
+    result = run_policy_sweep(materialize(rows(spark, sf)), flagged, costs=COSTS, policy=settings)
     return rounded(result.outcomes, 3)
 
 
+def decide_many_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews and capped rows of several settings decided in one pass."""
+    settings = [
+        policy.Setting("expected_loss", b, review_threshold=t) for b, t in ((0, 0.0), (3, 250.0), (9, 900.0))
+    ] + [
+        policy.Setting("probability_thresholds", b, review_at=r, block_at=c)
+        for b, r, c in ((3, 0.1, 0.5), (9, 0.2, math.inf))
+    ]
+    decided = policy.decide_settings(materialize(rows(spark, sf)), COSTS, settings)
+    return rounded(
+        decided.groupBy("setting").agg(
+            F.count_if(F.col("action") == "review").alias("reviews"),
+            F.count_if("capped").alias("capped"),
+            F.sum("expected_cost").alias("expected_cost"),
+        ),
+        3,
+    )
+
+
+_MANY = " UNION ALL ".join(
+    f"""SELECT CAST({i} AS INT) AS setting, * FROM (WITH {decided_sql(*rule, budget=str(b))}
+    SELECT count(*) FILTER (action = 'review') AS reviews, count(*) FILTER (capped) AS capped,
+    sum(expected_cost) AS expected_cost FROM decided)"""
+    for i, (b, rule) in enumerate(
+        [
+            (0, ("review_benefit > 0.0", "fallback")),
+            (3, ("review_benefit > 250.0", "fallback")),
+            (9, ("review_benefit > 900.0", "fallback")),
+            (
+                3,
+                (
+                    "probability >= 0.1 AND probability < 0.5",
+                    "CASE WHEN probability >= 0.5 THEN 'block' ELSE 'approve' END",
+                ),
+            ),
+            (9, ("probability >= 0.2", "'approve'")),
+        ]
+    )
+)
+MANY_SQL = rounded_sql(f"WITH {ROWS_SQL} {_MANY}", ["expected_cost"], 3)
+
 QUERIES: dict[str, Query] = {
+    "decide_many_settings": decide_many_settings,
     "expected_costs": expected_costs,
     "override_rules": override_rules,
     "override_rule_counts": override_rule_counts,
@@ -359,6 +403,7 @@ QUERIES: dict[str, Query] = {
     "policy_sweep": policy_sweep,
 }
 ORACLES: dict[str, str] = {
+    "decide_many_settings": MANY_SQL,
     "expected_costs": rounded_sql(
         f"WITH {ROWS_SQL} SELECT txn_id, {', '.join(COST_COLUMNS)}, fallback FROM costed",
         COST_COLUMNS,
