@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions.columns import cents, finite_or_null, ratio
-from tallyward.operators.ranking import running_totals
+from tallyward.operators.ranking import running_totals, value_edges, with_range
+from tallyward.session import materialize
 from tallyward.settings import ACTIONS, APPROVE, BLOCK, REVIEW, CostModel
 
 
@@ -165,18 +168,26 @@ def ranking_metrics(
     )
 
 
-# Cumulative Poisson(1) probabilities P(X <= k) for k = 0..8.
-POISSON_ONE = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-    0.9999988747974020,
-)
+SCORES_PER_GROUP = 100_000
+DRAW_BLOCK = 25
+
+
+def _resample_blocks(
+    group: pd.DataFrame, resamples: int, seed: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first resample, positives, rows) blocks: Poisson weights of one score range.
+
+    The weight of ``n`` equal rows is Poisson(n), the sum of one Poisson(1) per row. The generator
+    is seeded by the range's content, so both passes and any retry draw the same weights.
+    """
+    mark = int(pd.util.hash_pandas_object(group[["_score", "pos", "n"]], index=False).sum())
+    rng = np.random.default_rng([seed, mark % (1 << 63)])
+    pos = group["pos"].to_numpy()[:, None]
+    neg = group["n"].to_numpy()[:, None] - pos
+    for start in range(0, resamples, DRAW_BLOCK):
+        size = (len(group), min(DRAW_BLOCK, resamples - start))
+        p = rng.poisson(pos, size)
+        yield start, p, p + rng.poisson(neg, size)
 
 
 def bootstrap_pr_auc(
@@ -184,28 +195,80 @@ def bootstrap_pr_auc(
 ) -> DataFrame:
     """95% percentile interval of PR-AUC over Poisson bootstrap resamples, per group.
 
-    Each row's weight in a resample is a Poisson(1) draw from its id, so resamples are independent
-    of partitioning. Resamples with one class have no PR-AUC and drop out of the percentiles.
+    Rows are first counted per distinct score, then cut into score ranges of a bounded number of
+    scores. Weights are drawn inside each range: the shuffle carries scores, not resamples. One pass
+    totals the ranges, a second adds each range's precision on top of the totals above it.
+    Resamples with one class have no PR-AUC and drop out of the percentiles.
     """
-    from tallyward.functions.columns import unit_uniform
-
     if resamples == 0:
         return df.groupBy(*by).agg(
             F.lit(None).cast("double").alias("pr_auc_ci_low"),
             F.lit(None).cast("double").alias("pr_auc_ci_high"),
         )
-    draws = df.select(
-        *by,
-        "txn_id",
-        "is_fraud",
-        score,
-        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b"),
+    steps = materialize(
+        df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
+            count_where(F.col("is_fraud")).alias("pos"), F.count(F.lit(1)).alias("n")
+        )
     )
-    u = unit_uniform(seed, F.concat_ws(":", F.col("_b").cast("string"), F.col("txn_id")))
-    weighted = draws.withColumn("_u", u).withColumn(
-        "_w", sum(((F.col("_u") > c).cast("int") for c in POISSON_ONE), F.lit(0))
+    ranges = max(8, steps.count() // SCORES_PER_GROUP + 1)
+    ranged = with_range(steps, "_score", value_edges(steps, "_score", ranges), "_range")
+    key = [*by, "_range"]
+    key_types = [f"`{c}` {dict(ranged.dtypes)[c]}" for c in key]
+
+    def totals_of(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_score", ascending=False)
+        parts = [
+            pd.DataFrame({"_b": np.arange(b, b + p.shape[1]), "pos": p.sum(0), "n": n.sum(0)})
+            for b, p, n in _resample_blocks(group, resamples, seed)
+        ]
+        out = pd.concat(parts, ignore_index=True)
+        return out.assign(**{c: group[c].iloc[0] for c in key})[[*key, "_b", "pos", "n"]]
+
+    totals = materialize(
+        ranged.groupBy(*key).applyInPandas(
+            totals_of, ", ".join([*key_types, "_b int", "pos bigint", "n bigint"])
+        )
+    )
+    # One row per (group, resample, range): its size comes from settings, not from the table.
+    above = (
+        Window.partitionBy(*by, "_b")
+        .orderBy(F.col("_range").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    base = totals.select(
+        *key,
+        "_b",
+        F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("before_pos"),
+        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before_n"),
+    )
+
+    def areas_of(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_score", ascending=False)
+        before = before.sort_values("_b")
+        parts = []
+        for b, p, n in _resample_blocks(group, resamples, seed):
+            over = before.iloc[b : b + p.shape[1]]
+            tp = p.cumsum(0) + over["before_pos"].to_numpy()
+            seen = n.cumsum(0) + over["before_n"].to_numpy()
+            area = (p * np.divide(tp, seen, out=np.zeros(p.shape), where=seen > 0)).sum(0)
+            parts.append(pd.DataFrame({"_b": over["_b"].to_numpy(), "area": area}))
+        out = pd.concat(parts, ignore_index=True)
+        return out.assign(**{c: group[c].iloc[0] for c in key})[[*key, "_b", "area"]]
+
+    areas = (
+        ranged.groupBy(*key)
+        .cogroup(base.groupBy(*key))
+        .applyInPandas(areas_of, ", ".join([*key_types, "_b int", "area double"]))
+    )
+    group_b = [*by, "_b"]
+    sizes = totals.groupBy(*group_b).agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
+    both = (F.col("_p") > 0) & (F.col("_p") < F.col("_n"))
+    per = (
+        areas.groupBy(*group_b)
+        .agg(F.sum("area").alias("_area"))
+        .join(sizes, group_b)
+        .select(*group_b, F.when(both, F.col("_area") / F.col("_p")).alias("pr_auc"))
     )
-    per = ranking_metrics(weighted.filter("_w > 0"), score, [*by, "_b"], weight="_w")
     low, high = (F.percentile("pr_auc", F.lit(q)) for q in (0.025, 0.975))
     # At most ``resamples`` values per group reach the percentiles.
     return per.groupBy(*by).agg(low.alias("pr_auc_ci_low"), high.alias("pr_auc_ci_high"))
