@@ -29,11 +29,26 @@ OVERRIDES = Overrides(
 
 
 def rows(spark: SparkSession, sf: str, *, overridden: bool = True) -> DataFrame:
-    """Scored transactions with overrides; the velocity input is a stand-in count."""
+    """Scored transactions with overrides; the velocity input is a stand-in count.
+
+    Written once, as scores would be: otherwise every filter on a cost would draw them again.
+    """
     base = scored(spark, sf).withColumn("card_txn_count_1h", (F.col("event_ms") / 1000 % 4).cast("bigint"))
     overrides = OVERRIDES if overridden else Overrides(velocity_cap_1h=None)
-    return policy.with_overrides(base, overrides)
-
+    return materialize(policy.with_overrides(base, overrides).select(*NEEDED))
+
+
+NEEDED = (
+    "txn_id",
+    "event_ms",
+    "day",
+    "split",
+    "probability",
+    "amount",
+    "is_fraud",
+    "forced",
+    "override_rule",
+)
 
 ROWS_SQL = f"""{LI_SQL}, {SPLIT_SQL}, {PROBABILITY_SQL},
 ruled AS (
@@ -273,7 +288,7 @@ SUMMARY_SQL = rounded_sql(
 
 def cost_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     """Expected cost of the decisions under every cost variant, at one threshold."""
-    base = materialize(rows(spark, sf))
+    base = rows(spark, sf)
     parts = []
     for name, variant in policy.cost_variants(COSTS):
         decided = policy.decide_by_expected_loss(
@@ -339,7 +354,7 @@ def policy_sweep(spark: SparkSession, sf: str) -> DataFrame:
     )
     frame = materialize(rule_frame(li(spark, sf)))
     flagged = apply_rules(frame, fit_thresholds(frame.filter(F.col("split") == "train")))
-    result = run_policy_sweep(materialize(rows(spark, sf)), flagged, costs=COSTS, policy=settings)
+    result = run_policy_sweep(rows(spark, sf), flagged, costs=COSTS, policy=settings)
     return rounded(result.outcomes, 3)
 
 
@@ -351,7 +366,7 @@ def decide_many_settings(spark: SparkSession, sf: str) -> DataFrame:
         policy.Setting("probability_thresholds", b, review_at=r, block_at=c)
         for b, r, c in ((3, 0.1, 0.5), (9, 0.2, math.inf))
     ]
-    decided = policy.decide_settings(materialize(rows(spark, sf)), COSTS, settings)
+    decided = policy.decide_settings(rows(spark, sf), COSTS, settings)
     return rounded(
         decided.groupBy("setting").agg(
             F.count_if(F.col("action") == "review").alias("reviews"),

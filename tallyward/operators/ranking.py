@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyward.session import materialize
+
 RANGES = 256
 ROWS_PER_RANGE = 1_000_000
 
@@ -51,8 +53,9 @@ def running_totals(
 
     ``descending`` totals over larger values instead.
     """
-    one = df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
-    edges = value_edges(df, value) if edges is None else edges
+    # Read three times below, and far smaller than its input: written once.
+    one = materialize(df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures]))
+    edges = value_edges(one, value) if edges is None else edges
     ranged = with_range(one, value, edges, "_range")
     order = F.col(value).desc() if descending else F.col(value).asc()
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
@@ -101,8 +104,10 @@ def row_numbers(
     """Number all rows from 1 by ``(first, then, tie)``, without one task holding them all.
 
     A value of ``first`` shared by a large part of the rows gets a range to itself, which is cut
-    again along ``then``.
+    again along ``then``. The input is written once, because edges, range sizes and rows each read
+    it: pass only the columns you need.
     """
+    df = materialize(df)
     edges = value_edges(df, first)
     heavy = _heavy_values(edges)
     cuts = sorted({*edges, *[math.nextafter(v, math.inf) for v in heavy]})
