@@ -58,16 +58,18 @@ FIRST_STATE = T.StructType(
         T.StructField("owner", T.StringType()),
         T.StructField("other", T.StringType()),
         T.StructField("first_ms", T.LongType()),
+        T.StructField("last_ms", T.LongType()),
         T.StructField("kind", T.StringType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )
+FOLDED_STATE = T.StructType([T.StructField("upto", T.LongType()), T.StructField("batch_id", T.LongType())])
 # What a first-seen time belongs to.
 CARD, DEVICE, CARD_DEVICE, CARD_MERCHANT = "card", "device", "card_device", "card_merchant"
 
 
 def first_times(events: DataFrame) -> DataFrame:
-    """(owner, other, kind, first_ms): first-seen times in ``events``, combined map-side."""
+    """(owner, other, kind, first_ms, last_ms): sightings in ``events``, combined map-side."""
     def key(kind: str, owner: str, other: str | None = None) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
@@ -88,7 +90,7 @@ def first_times(events: DataFrame) -> DataFrame:
         .select("_ms", "_k.*")
         .filter(F.col("owner").isNotNull() & F.col("other").isNotNull())
         .groupBy("owner", "other", "kind")
-        .agg(F.min("_ms").alias("first_ms"))
+        .agg(F.min("_ms").alias("first_ms"), F.max("_ms").alias("last_ms"))
     )
 
 
@@ -145,20 +147,30 @@ class FeatureState:
         return once.select("txn_id", "_l.*")
 
     def first_seen(self, spark: SparkSession, kind: str, upto: int | None = None) -> DataFrame:
-        df = self._table(spark, "first_seen", FIRST_STATE).filter(F.col("kind") == kind)
+        df = self._sightings(spark).filter(F.col("kind") == kind)
         df = df if upto is None else df.filter(F.col("batch_id") <= upto)
         return df.groupBy("owner", "other").agg(F.min("first_ms").alias("first_ms"))
 
+    def _sightings(self, spark: SparkSession) -> DataFrame:
+        """First-seen folders, from the last folded one on."""
+        folded = self._table(spark, "folded", FOLDED_STATE).agg(F.max("upto")).first()[0]
+        df = self._table(spark, "first_seen", FIRST_STATE)
+        return df if folded is None else df.filter(F.col("batch_id") >= folded)
+
     def compact_first_seen(self, spark: SparkSession, upto: int, as_of_ms: int | None = None) -> None:
-        """Fold batches up to ``upto`` into one folder, forgetting keys past their lifetime.
+        """Fold batches up to ``upto`` into one folder; forget keys not seen for the lifetime.
 
-        Call between batches. The folded minima go in as batch ``upto``; folding again is harmless.
+        Call between batches. Folded times go in as batch ``upto``; then a marker tells readers to
+        skip older folders, which may be deleted. Folding again, or failing in between, is harmless.
         """
-        df = self._table(spark, "first_seen", FIRST_STATE).filter(F.col("batch_id") <= upto)
-        folded = df.groupBy("owner", "other", "kind").agg(F.min("first_ms").alias("first_ms"))
+        df = self._sightings(spark).filter(F.col("batch_id") <= upto)
+        folded = df.groupBy("owner", "other", "kind").agg(
+            F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms")
+        )
         if as_of_ms is not None and self.lifetime_days is not None:
-            folded = folded.filter(F.col("first_ms") >= as_of_ms - self.lifetime_days * DAY_MS)
+            folded = folded.filter(F.col("last_ms") >= as_of_ms - self.lifetime_days * DAY_MS)
         self._put(materialize(folded), "first_seen", upto, "kind")
+        self._put(spark.createDataFrame([(upto,)], "upto long"), "folded", upto)
 
     # ------------------------------------------------------------ evaluation
 

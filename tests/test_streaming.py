@@ -48,8 +48,12 @@ def test_first_seen_survives_late_events_and_compaction(spark):
     assert first() == int(at(0).timestamp() * 1000)
     state.compact_first_seen(spark, 1)
     assert first() == int(at(0).timestamp() * 1000)
-    state.compact_first_seen(spark, 1, as_of_ms=int(at(0).timestamp() * 1000) + 500 * 86_400_000)
-    assert state.first_seen(spark, CARD_DEVICE).filter("first_ms > 0").count() <= 1
+    day = 86_400_000
+    start = int(at(0).timestamp() * 1000)
+    state.compact_first_seen(spark, 1, as_of_ms=start + 300 * day)
+    assert first() == start
+    state.compact_first_seen(spark, 1, as_of_ms=start + 500 * day)
+    assert state.first_seen(spark, CARD_DEVICE).count() == 0
 
 
 def test_scoring_between_batches_in_order_equals_batch(spark):
