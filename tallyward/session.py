@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,3 +62,8 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "step")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(module: str) -> None:
+    """Pickle what ``module`` defines by value, so that executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
