@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import lang_mixture
+from tallyward.llm import html_blocks, lang_mixture
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,8 +27,14 @@ def op3_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_html_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_blocks.extract(table(spark, sf, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_mixture": op3_language_mixture,
+    "op8_html_blocks": op8_html_blocks,
 }
 
 #: DuckDB SQL where it can express the query on whole tables.
