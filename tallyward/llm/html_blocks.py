@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tallyward.llm.text import strings
 from tallyward.session import ship
 
 ship(__name__)
@@ -253,7 +254,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [main_text(h) for h in batch["html"]]
+            text = strings([main_text(h) for h in batch["html"]])
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text})
 
     return pages.select("page_id", "url", "html").mapInPandas(work, "page_id long, url string, text string")

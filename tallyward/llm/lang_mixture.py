@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.text import U64, chunks
+from tallyward.llm.text import U64, chunks, strings
 from tallyward.session import ship
 
 ship(__name__)
@@ -192,7 +192,7 @@ def detect(docs: DataFrame, model: MixtureModel) -> DataFrame:
                         ]
                     )
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "lang_pred": lang, "score": score, "languages": mixture}
+                {"doc_id": batch["doc_id"], "lang_pred": strings(lang), "score": score, "languages": mixture}
             )
 
     return docs.select("doc_id", "text").mapInPandas(

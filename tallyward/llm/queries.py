@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_blocks, lang_mixture
+from tallyward.llm import html_blocks, lang_mixture, toxic_spans
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,9 +32,24 @@ def op8_html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_toxic_spans(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    part = lang_mixture.fold("doc_id", 5)
+    model = toxic_spans.fit(docs.where(part != 0), table(spark, sf, "labels"))
+    return toxic_spans.score(docs, model).select(
+        "doc_id",
+        F.coalesce(part == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "toxic_tokens",
+        "spans",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_mixture": op3_language_mixture,
     "op8_html_blocks": op8_html_blocks,
+    "op9_toxic_spans": op9_toxic_spans,
 }
 
 #: DuckDB SQL where it can express the query on whole tables.

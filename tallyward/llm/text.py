@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 
 from tallyward.session import ship
 
@@ -135,3 +136,8 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 def encoded(column) -> list[bytes]:
     """UTF-8 bytes of a pandas text column; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in column]
+
+
+def strings(values: list) -> pd.Series:
+    """A text column that Arrow turns into one array, whatever its length."""
+    return pd.Series(values, dtype=object)
