@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_blocks, lang_mixture, toxic_spans
+from tallyward.llm import html_blocks, lang_mixture, minhash_forest, toxic_spans
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_minhash_forest(spark: SparkSession, sf: str) -> DataFrame:
+    settings = minhash_forest.ForestSettings(words=2)
+    return minhash_forest.near_duplicates(table(spark, sf, "documents"), settings)
+
+
 def op3_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     part = lang_mixture.fold("doc_id", 3)
@@ -47,6 +52,7 @@ def op9_toxic_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_forest": op2_minhash_forest,
     "op3_language_mixture": op3_language_mixture,
     "op8_html_blocks": op8_html_blocks,
     "op9_toxic_spans": op9_toxic_spans,
