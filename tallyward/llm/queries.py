@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_blocks, lang_mixture, minhash_forest, toxic_spans
+from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, toxic_spans
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_leak_index(spark: SparkSession, sf: str) -> DataFrame:
+    return leak_index.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op8_html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     found = html_blocks.extract(table(spark, sf, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -54,6 +58,7 @@ def op9_toxic_spans(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_language_mixture": op3_language_mixture,
+    "op4_leak_index": op4_leak_index,
     "op8_html_blocks": op8_html_blocks,
     "op9_toxic_spans": op9_toxic_spans,
 }
