@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, toxic_spans
+from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, surrogates, toxic_spans
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,6 +36,16 @@ def op4_leak_index(spark: SparkSession, sf: str) -> DataFrame:
     return leak_index.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+#: The registered queries' key; a production run takes its own from a secret store.
+DEMO_KEY = "demonstration key"
+
+
+def op6_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    settings = surrogates.SurrogateSettings(DEMO_KEY)
+    done = surrogates.replace(table(spark, sf, "documents"), settings, count="n_chars")
+    return done.select("doc_id", "text", "n_chars", "pii_replaced")
+
+
 def op8_html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     found = html_blocks.extract(table(spark, sf, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -59,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_language_mixture": op3_language_mixture,
     "op4_leak_index": op4_leak_index,
+    "op6_surrogates": op6_surrogates,
     "op8_html_blocks": op8_html_blocks,
     "op9_toxic_spans": op9_toxic_spans,
 }
