@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, surrogates, toxic_spans
+from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, mixture_weights, surrogates, toxic_spans
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_leak_index(spark: SparkSession, sf: str) -> DataFrame:
     return leak_index.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op5_mixture_weights(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = mixture_weights.mix(table(spark, sf, "documents"))
+    return drawn.withColumns({c: F.round(c, 9) for c in ("probability", "cell_weight")})
+
+
 #: The registered queries' key; a production run takes its own from a secret store.
 DEMO_KEY = "demonstration key"
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_language_mixture": op3_language_mixture,
     "op4_leak_index": op4_leak_index,
+    "op5_mixture_weights": op5_mixture_weights,
     "op6_surrogates": op6_surrogates,
     "op8_html_blocks": op8_html_blocks,
     "op9_toxic_spans": op9_toxic_spans,
