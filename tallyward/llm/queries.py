@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, mixture_weights, surrogates, toxic_spans
+from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, mixture_weights, repeated_lines, surrogates, toxic_spans
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op6_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "text", "n_chars", "pii_replaced")
 
 
+def op7_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    done = repeated_lines.deduplicate(table(spark, sf, "documents"))
+    return done.withColumn("n_spans", F.size("removed").cast("long"))
+
+
 def op8_html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     found = html_blocks.extract(table(spark, sf, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_leak_index": op4_leak_index,
     "op5_mixture_weights": op5_mixture_weights,
     "op6_surrogates": op6_surrogates,
+    "op7_repeated_lines": op7_repeated_lines,
     "op8_html_blocks": op8_html_blocks,
     "op9_toxic_spans": op9_toxic_spans,
 }

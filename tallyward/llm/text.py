@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) + U64(seed) * U64(0x632BE59BD9B4E019))
+    return mix(np.arange(1, 257, dtype=U64) + U64(seed * 0x632BE59BD9B4E019 % (1 << 64)))
 
 
 def _lower_table() -> np.ndarray:
