@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, mixture_weights, repeated_lines, surrogates, toxic_spans
+from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, mixture_weights, repeated_lines, substring_dedup, surrogates, toxic_spans
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -75,6 +75,18 @@ def op9_toxic_spans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = substring_dedup.deduplicate(table(spark, sf, "documents"))
+    removed = F.transform("removed", lambda r: r["end"] - r["start"])
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(removed, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_language_mixture": op3_language_mixture,
@@ -84,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_repeated_lines": op7_repeated_lines,
     "op8_html_blocks": op8_html_blocks,
     "op9_toxic_spans": op9_toxic_spans,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL where it can express the query on whole tables.
