@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import html_blocks, lang_mixture, leak_index, minhash_forest, mixture_weights, repeated_lines, substring_dedup, surrogates, toxic_spans
+from tallyward.llm import (
+    hamming_index,
+    html_blocks,
+    lang_mixture,
+    leak_index,
+    minhash_forest,
+    mixture_weights,
+    repeated_lines,
+    substring_dedup,
+    surrogates,
+    toxic_spans,
+)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_hamming_index(spark: SparkSession, sf: str) -> DataFrame:
+    return hamming_index.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_minhash_forest(spark: SparkSession, sf: str) -> DataFrame:
     settings = minhash_forest.ForestSettings(words=2)
     return minhash_forest.near_duplicates(table(spark, sf, "documents"), settings)
@@ -88,6 +103,7 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_index": op1_hamming_index,
     "op2_minhash_forest": op2_minhash_forest,
     "op3_language_mixture": op3_language_mixture,
     "op4_leak_index": op4_leak_index,
@@ -99,5 +115,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+def _mix_sql(settings: mixture_weights.MixSettings) -> str:
+    """The raking of ``mixture_weights`` unrolled into one WITH chain."""
+    steps = [
+        f"""rows AS (
+  SELECT doc_id, coalesce(source, '<none>') AS source, coalesce(lang, '<none>') AS lang,
+         CASE WHEN coalesce(length(text), 0) = 0 THEN '<none>' WHEN contains(text, ' | ') THEN 'table'
+              WHEN contains(text, '###') OR contains(text, '&&&') THEN 'markup'
+              WHEN contains(text, '@') OR contains(text, 'token = ') THEN 'contact'
+              WHEN length(text) < 400 THEN 'note' ELSE 'prose' END AS topic,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS tokens,
+         (CAST('0x' || substr(md5('{settings.seed}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))),
+                              1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS draw
+  FROM documents
+),
+kept AS (SELECT * FROM rows WHERE tokens > 0),
+cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM kept GROUP BY ALL),
+w0 AS (SELECT *, tokens AS weight FROM cells)"""
+    ]
+    for d in mixture_weights.DIMENSIONS:
+        power = settings.flatten.get(d, 1.0)
+        steps.append(
+            f"""t_{d} AS (SELECT {d}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS target
+  FROM cells GROUP BY {d})"""
+        )
+    n = 0
+    for _ in range(settings.sweeps):
+        for d in mixture_weights.DIMENSIONS:
+            steps.append(
+                f"""w{n + 1} AS MATERIALIZED (
+  SELECT w{n}.* EXCLUDE (weight), weight * (target / sum(weight) OVER (PARTITION BY w{n}.{d})) AS weight
+  FROM w{n} JOIN t_{d} ON w{n}.{d} = t_{d}.{d})"""
+            )
+            n += 1
+    return "WITH " + ",\n".join(steps) + f""",
+scale AS (SELECT least({settings.keep} * sum(tokens) / sum(weight), 1 / max(weight / tokens)) AS scale FROM w{n})
+SELECT doc_id, kept.source, kept.lang, kept.topic, kept.tokens,
+       round(weight / w{n}.tokens * scale, 9) AS probability, round(weight, 9) AS cell_weight
+FROM kept JOIN w{n} ON kept.source = w{n}.source AND kept.lang = w{n}.lang AND kept.topic = w{n}.topic, scale
+WHERE draw < weight / w{n}.tokens * scale"""
+
+
 #: DuckDB SQL where it can express the query on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_hamming_index": """
+WITH signs AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.bits, x.bits), lambda z: abs(z[1] - z[2]))) AS INTEGER) AS distance
+  FROM signs q JOIN signs x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+WHERE rank <= 10""",
+    "op5_mixture_weights": _mix_sql(mixture_weights.MixSettings()),
+}
