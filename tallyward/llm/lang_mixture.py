@@ -200,6 +200,22 @@ def detect(docs: DataFrame, model: MixtureModel) -> DataFrame:
     )
 
 
+def keep_determined(docs: DataFrame, model: MixtureModel) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch["text"]]
+            told = np.zeros(len(texts), dtype=bool)
+            for a, b in chunks(texts):
+                _, offsets = _grams(texts[a:b], shared.value.settings)
+                told[a:b] = [n > 0 and bool(LETTER.search(t)) for n, t in zip(np.diff(offsets), texts[a:b], strict=True)]
+            yield batch[told & bool(shared.value.languages)]
+
+    return docs.mapInPandas(work, docs.schema)
+
+
 def fold(doc_id: str, n: int) -> Column:
     """``crc32`` of the id's text modulo ``n``; null ids have fold null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -53,18 +53,21 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0))
 
 
-def weighed(docs: DataFrame, seed: str) -> DataFrame:
-    """``doc_id``, the three dimensions, ``tokens`` and ``draw`` in (0, 1), without the text."""
+def _measures(seed: str) -> list[Column]:
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 12), 16, 10).cast("bigint")
-    return docs.select(
-        "doc_id",
+    return [
         F.coalesce("source", F.lit(MISSING)).alias("source"),
         F.coalesce("lang", F.lit(MISSING)).alias("lang"),
         F.coalesce(topic_of(F.col("text")), F.lit(MISSING)).alias("topic"),
         tokens_of(F.col("text")).cast("bigint").alias("tokens"),
         ((hashed + 0.5) / F.lit(float(1 << 48))).alias("draw"),
-    )
+    ]
+
+
+def weighed(docs: DataFrame, seed: str) -> DataFrame:
+    """``doc_id``, the three dimensions, ``tokens`` and ``draw`` in (0, 1), without the text."""
+    return docs.select("doc_id", *_measures(seed))
 
 
 def marginal(cells: DataFrame, dimension: str, settings: MixSettings) -> DataFrame:
@@ -107,21 +110,47 @@ def rake(cells: DataFrame, settings: MixSettings) -> DataFrame:
     return current
 
 
-def mix(docs: DataFrame, settings: MixSettings | None = None) -> DataFrame:
-    """Drawn documents: ``doc_id``, ``source``, ``lang``, ``topic``, ``tokens``, ``probability`` of being drawn
-    and ``cell_weight`` (the raked share of the document's cell)."""
-    settings = settings or MixSettings()
-    rows = materialize(weighed(docs, settings.seed).where("tokens > 0"))
-    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+def chances(rows: DataFrame, settings: MixSettings) -> DataFrame:
+    """Per cell of ``rows``: ``probability`` of a document and ``cell_weight`` (the raked share of the cell)."""
+    cells = materialize(rows.where("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     raked = rake(cells, settings).withColumn("density", F.col("weight") / F.col("tokens"))
     # kept tokens of a cell: scale * weight, never more than the cell has
     total = raked.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w"), F.max("density").alias("d")).first()
     scale = min(settings.keep * total["t"] / total["w"], 1 / total["d"]) if total["t"] else 0.0
-    chance = raked.select(
+    return raked.select(
         *DIMENSIONS, (F.col("density") * F.lit(scale)).alias("probability"), F.col("weight").alias("cell_weight")
     )
+
+
+def mix(docs: DataFrame, settings: MixSettings | None = None) -> DataFrame:
+    """Drawn documents: ``doc_id``, ``source``, ``lang``, ``topic``, ``tokens``, ``probability``, ``cell_weight``."""
+    settings = settings or MixSettings()
+    rows = materialize(weighed(docs, settings.seed).where("tokens > 0"))
     return (
-        rows.join(chance, list(DIMENSIONS))
+        rows.join(chances(rows, settings), list(DIMENSIONS))
         .where(F.col("draw") < F.col("probability"))
         .select("doc_id", *DIMENSIONS, "tokens", "probability", "cell_weight")
     )
+
+
+def mixed_documents(docs: DataFrame, settings: MixSettings | None = None) -> DataFrame:
+    """Drawn rows of ``docs`` with all columns and ``mix_topic``, ``mix_tokens``, ``mix_probability``,
+    ``mix_weight``; columns of these names are replaced."""
+    settings = settings or MixSettings()
+    added = ("mix_topic", "mix_tokens", "mix_probability", "mix_weight")
+    columns = [F.col(c) for c in docs.columns if c not in added]
+    cell = chances(weighed(docs, settings.seed), settings)
+    marked = docs.select(*columns, F.struct(*_measures(settings.seed)).alias("_mix")).alias("d")
+    same = [F.col(f"_mix.{d}") == cell[d] for d in DIMENSIONS]
+    return (
+        marked.join(cell, same)
+        .where((F.col("_mix.tokens") > 0) & (F.col("_mix.draw") < F.col("probability")))
+        .select(
+            "d.*",
+            F.col("_mix.topic").alias("mix_topic"),
+            F.col("_mix.tokens").alias("mix_tokens"),
+            F.col("probability").alias("mix_probability"),
+            F.col("cell_weight").alias("mix_weight"),
+        )
+        .drop("_mix")
+    )
