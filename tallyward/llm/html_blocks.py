@@ -97,6 +97,11 @@ LABELLED = """
 0 5 2 0 0.0 1.0 0.0 0
 0 7 4 5 0.0 0.0 0.0 0
 0 3 5 2 0.0 0.0 0.0 0
+0 1 45 2 1.0 0.0 1.0 0
+0 2 60 1 1.0 0.0 1.0 0
+0 4 30 3 1.0 0.0 1.0 0
+0 12 80 6 0.9 0.0 0.8 0
+0 2 1 0 1.0 1.0 0.0 0
 2 1 1 1 1.0 1.0 1.0 0
 2 6 1 8 1.0 1.0 0.0 0
 2 9 6 8 0.0 1.0 0.0 0
