@@ -48,9 +48,9 @@ BALANCE_SQL = rounded_sql(
     f"""WITH {LI_SQL} SELECT count(*) AS labelled_transactions,
     CAST(0 AS BIGINT) AS unlabelled_transactions, count(*) FILTER (is_fraud) AS fraud_transactions,
     count(*) FILTER (is_fraud) / CAST(count(*) AS DOUBLE) AS fraud_rate,
-    CAST(sum(cents) AS BIGINT) / 100.0 AS total_amount,
-    CAST(sum(cents) FILTER (is_fraud) AS BIGINT) / 100.0 AS fraud_amount,
-    (CAST(sum(cents) FILTER (is_fraud) AS BIGINT) / 100.0) / (CAST(sum(cents) AS BIGINT) / 100.0)
+    CAST(sum(mu) AS BIGINT) / 1000.0 AS total_amount,
+    CAST(sum(mu) FILTER (is_fraud) AS BIGINT) / 1000.0 AS fraud_amount,
+    (CAST(sum(mu) FILTER (is_fraud) AS BIGINT) / 1000.0) / (CAST(sum(mu) AS BIGINT) / 1000.0)
       AS fraud_amount_share FROM txns""",
     ["fraud_rate", "total_amount", "fraud_amount", "fraud_amount_share"],
 )
@@ -68,7 +68,7 @@ _QUANTILES = " UNION ALL ".join(
 AMOUNTS_SQL = rounded_sql(
     f"""WITH {LI_SQL} SELECT is_fraud, 'count' AS statistic, CAST(count(*) AS DOUBLE) AS value
     FROM txns GROUP BY is_fraud
-    UNION ALL SELECT is_fraud, 'mean', (CAST(sum(cents) AS BIGINT) / 100.0) / count(*) FROM txns GROUP BY is_fraud
+    UNION ALL SELECT is_fraud, 'mean', (CAST(sum(mu) AS BIGINT) / 1000.0) / count(*) FROM txns GROUP BY is_fraud
     UNION ALL SELECT is_fraud, 'max', max(amount) FROM txns GROUP BY is_fraud
     UNION ALL {_QUANTILES}""",
     ["value"],
@@ -86,7 +86,7 @@ WINDOWS_SQL = rounded_sql(
     SELECT w.split, w.start_day, w.end_day, count(p.txn_id) AS transactions,
       count(*) FILTER (p.is_fraud) AS frauds,
       count(*) FILTER (p.is_fraud) / CAST(nullif(count(p.txn_id), 0) AS DOUBLE) AS fraud_rate,
-      CAST(coalesce(sum(cents) FILTER (p.is_fraud), 0) AS BIGINT) / 100.0 AS fraud_amount,
+      CAST(coalesce(sum(mu) FILTER (p.is_fraud), 0) AS BIGINT) / 1000.0 AS fraud_amount,
       min(ms) AS first_ms, max(ms) AS last_ms
     FROM wanted w LEFT JOIN placed p ON w.split = p.split GROUP BY ALL""",
     ["fraud_rate", "fraud_amount"],
@@ -292,8 +292,8 @@ rules_fired, CASE WHEN rules_fired > 0 THEN 'block' ELSE 'approve' END AS action
 
 
 def report_sql(source: str, by: str) -> str:
-    """The decision report over (action, is_fraud, cents) rows, grouped by one column."""
-    money = "CAST(coalesce(sum(cents) FILTER ({c}), 0) AS BIGINT) / 100.0"
+    """The decision report over (action, is_fraud, mu) rows, grouped by one column."""
+    money = "CAST(coalesce(sum(mu) FILTER ({c}), 0) AS BIGINT) / 1000.0"
 
     def m(condition: str) -> str:
         return money.format(c=condition)
@@ -379,7 +379,7 @@ def rules_report_by_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EACH_RULE = " UNION ALL ".join(
-    f"SELECT '{r}' AS rule, is_fraud, cents,"
+    f"SELECT '{r}' AS rule, is_fraud, mu,"
     f" CASE WHEN rule_{r} THEN 'block' ELSE 'approve' END AS action FROM ruled WHERE split = 'test'"
     for r in RULE_NAMES
 )

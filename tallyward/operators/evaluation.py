@@ -1,22 +1,27 @@
-"""Decision and ranking metrics. Money is added up in exact integer cents."""
+"""Decision and ranking metrics. Money is added up in exact integer thousandths."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.functions.columns import cents, finite_or_null, ratio
+from tallyward.functions.columns import finite_or_null, milli_units, ratio
 from tallyward.operators.ranking import running_totals, value_edges, with_range
-from tallyward.session import materialize
+from tallyward.session import materialize, ship, small_side
 from tallyward.settings import ACTIONS, APPROVE, BLOCK, REVIEW, CostModel
 
 
+ship(__name__)
+
+
 def money_sum(condition: Column, amount: str = "amount") -> Column:
-    return F.coalesce(F.sum(F.when(condition, cents(F.col(amount)))), F.lit(0)) / F.lit(100.0)
+    return F.coalesce(F.sum(F.when(condition, milli_units(F.col(amount)))), F.lit(0)) / F.lit(1000.0)
 
 
 def count_where(condition: Column) -> Column:
@@ -122,7 +127,7 @@ def score_steps(
 def precision_recall_points(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """(score, precision, recall) at every distinct threshold ``score >= t``."""
     steps = score_steps(df, score, by)
-    totals = df.groupBy(*by).agg(count_where(F.col("is_fraud")).alias("_positives"))
+    totals = small_side(df.groupBy(*by).agg(count_where(F.col("is_fraud")).alias("_positives")))
     tp = F.col("before_pos") + F.col("pos")
     predicted = F.col("before_n") + F.col("n")
     return (
@@ -172,22 +177,53 @@ SCORES_PER_GROUP = 100_000
 DRAW_BLOCK = 25
 
 
+def _uniforms(group: pd.DataFrame, resample: int, label: int, seed: int) -> np.ndarray:
+    """A draw in (0, 1) per score that depends on seed, resample, score and label, and on nothing else."""
+    x = (group["_score"].to_numpy(dtype=np.float64) + 0.0).view(np.uint64).copy()
+    stem = (seed * 0x9E3779B97F4A7C15 + resample * 0xD1342543DE82EF95 + label * 0x632BE59BD9B4E019) % (1 << 64)
+    for shift in (30, 27):
+        x ^= np.uint64(stem)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+@lru_cache(maxsize=4096)
+def _poisson_steps(mean: int) -> tuple[int, np.ndarray]:
+    reach = int(12 * math.sqrt(mean) + 24)
+    low = max(0, mean - reach)
+    values = np.arange(low, mean + reach + 1)
+    logs = values * math.log(mean) - mean - np.array([math.lgamma(v + 1) for v in values])
+    return low, np.cumsum(np.exp(logs))
+
+
+def _poisson(mean: int, u: np.ndarray) -> np.ndarray:
+    """Poisson quantiles of uniform draws, from the summed probabilities around the mean."""
+    low, steps = _poisson_steps(mean)
+    return low + np.minimum(np.searchsorted(steps, u), len(steps) - 1)
+
+
 def _resample_blocks(
     group: pd.DataFrame, resamples: int, seed: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first resample, positives, rows) blocks: Poisson weights of one score range.
 
-    The weight of ``n`` equal rows is Poisson(n), the sum of one Poisson(1) per row. The generator
-    is seeded by the range's content, so both passes and any retry draw the same weights.
+    The weight of ``n`` equal rows is Poisson(n), the sum of one Poisson(1) per row. It is a quantile of
+    a hash of (seed, resample, score, label): ranges and partitioning only balance the work.
     """
-    mark = int(pd.util.hash_pandas_object(group[["_score", "pos", "n"]], index=False).sum())
-    rng = np.random.default_rng([seed, mark % (1 << 63)])
-    pos = group["pos"].to_numpy()[:, None]
-    neg = group["n"].to_numpy()[:, None] - pos
+    pos = group["pos"].to_numpy()
+    counts = (pos, group["n"].to_numpy() - pos)
+    sizes = [[(int(m), np.flatnonzero(c == m)) for m in np.unique(c) if m > 0] for c in counts]
     for start in range(0, resamples, DRAW_BLOCK):
-        size = (len(group), min(DRAW_BLOCK, resamples - start))
-        p = rng.poisson(pos, size)
-        yield start, p, p + rng.poisson(neg, size)
+        block = range(start, min(resamples, start + DRAW_BLOCK))
+        drawn = np.zeros((2, len(group), len(block)), dtype=np.int64)
+        for label, by_size in enumerate(sizes):
+            for k, resample in enumerate(block):
+                u = _uniforms(group, resample, label, seed)
+                for mean, rows in by_size:
+                    drawn[label, rows, k] = _poisson(mean, u[rows])
+        yield start, drawn[0], drawn[0] + drawn[1]
 
 
 def bootstrap_pr_auc(
@@ -196,7 +232,7 @@ def bootstrap_pr_auc(
     """95% percentile interval of PR-AUC over Poisson bootstrap resamples, per group.
 
     Rows are first counted per distinct score, then cut into score ranges of a bounded number of
-    scores. Weights are drawn inside each range: the shuffle carries scores, not resamples. One pass
+    scores. Weights are hashes drawn where a score lies: the shuffle carries scores, not resamples. One pass
     totals the ranges, a second adds each range's precision on top of the totals above it.
     Resamples with one class have no PR-AUC and drop out of the percentiles.
     """

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.functions.columns import cents, event_ms, ratio
+from tallyward.functions.columns import event_ms, milli_units, ratio
 from tallyward.operators.features import feature_schema
+from tallyward.session import materialize
 from tallyward.settings import (
     DAY_MS,
     DEVICE_COUNT_WINDOWS,
@@ -50,18 +51,19 @@ def compute_naive_features(events: DataFrame, *, with_labels: bool = False) -> D
         "device_id",
         "merchant_id",
         F.col("amount").cast("double").alias("_amount"),
-        cents(F.col("amount")).alias("_cents"),
+        milli_units(F.col("amount")).alias("_milli"),
         *([F.col("is_fraud").cast("bigint").alias("_fraud")] if with_labels else []),
     )
     for w in WINDOWS_MS:
         rows = rows.withColumn(f"_b_{w}", bucket(w))
+    rows = materialize(rows)  # narrow, and read by every aggregate below
     out = rows
     n = F.count(F.lit(1))
     for w in WINDOWS_MS:
         keys = ["card_id", f"_b_{w}"]
         per = rows.groupBy(*keys).agg(
             n.alias(f"card_txn_count_{w}"),
-            (F.sum("_cents") / F.lit(100.0)).alias(f"card_amount_sum_{w}"),
+            (F.sum("_milli") / F.lit(1000.0)).alias(f"card_amount_sum_{w}"),
         )
         if w in DISTINCT_WINDOWS:
             shops = _distinct_per(rows, keys, "merchant_id", f"card_distinct_merchants_{w}")
@@ -79,10 +81,10 @@ def compute_naive_features(events: DataFrame, *, with_labels: bool = False) -> D
     out = out.join(
         rows.groupBy("card_id").agg(
             n.alias("_n"),
-            F.sum("_cents").alias("_s1"),
-            F.sum(F.col("_cents") * F.col("_cents")).alias("_s2"),
+            F.sum("_milli").alias("_s1"),
+            F.sum((F.col("_milli") * F.col("_milli")).cast("decimal(20,0)")).cast("double").alias("_s2"),
             F.min("_ms").alias("_card_first"),
-            *([F.sum("_fraud").alias("card_prior_fraud_labels")] if with_labels else []),
+            *([F.coalesce(F.sum("_fraud"), F.lit(0)).alias("card_prior_fraud_labels")] if with_labels else []),
         ),
         "card_id",
         "left",
@@ -115,10 +117,10 @@ def _attach_counts(out: DataFrame, rows: DataFrame, with_labels: bool) -> DataFr
 def _naive_columns(with_labels: bool) -> list[Column]:
     ms, amount = F.col("_ms"), F.col("_amount")
     has_device = F.col("device_id").isNotNull()
-    mean = F.col("_s1") / F.col("_n") / F.lit(100.0)
-    mean_cents = F.col("_s1") / F.col("_n")
-    variance = F.greatest(F.col("_s2") / F.col("_n") - mean_cents * mean_cents, F.lit(0.0))
-    std = F.sqrt(variance) / 100
+    mean = F.col("_s1") / F.col("_n") / F.lit(1000.0)
+    mean_milli = F.col("_s1") / F.col("_n")
+    variance = F.greatest(F.col("_s2") / F.col("_n") - mean_milli * mean_milli, F.lit(0.0))
+    std = F.sqrt(variance) / 1000
     moment = F.timestamp_millis(ms)
     made = {
         "card_amount_mean_30d": mean,

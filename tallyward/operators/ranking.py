@@ -15,17 +15,22 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.session import materialize
+from tallyward.session import materialize, small_side
 
-RANGES = 256
 ROWS_PER_RANGE = 1_000_000
+LEAST_RANGES = 16
 
 
-def value_edges(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
-    """At most ``ranges`` rough quantiles of ``column``, from a mergeable sketch."""
+def value_edges(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
+    """Rough quantiles of ``column`` from a mergeable sketch: about one per ``ROWS_PER_RANGE`` rows.
+
+    The sketch is ten times finer than the ranges, so a range holds at most a tenth more than its share.
+    """
+    if ranges is None:
+        ranges = max(LEAST_RANGES, -(-df.count() // ROWS_PER_RANGE))
     levels = [i / ranges for i in range(1, ranges)]
     row = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), F.array(*[F.lit(x) for x in levels]), 2_000)
+        F.percentile_approx(F.col(column).cast("double"), F.lit(levels), max(2_000, 10 * ranges))
     ).first()[0]
     return sorted(x for x in (row or []) if x is not None and math.isfinite(x))
 
@@ -64,7 +69,7 @@ def running_totals(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per (keys, range): at most RANGES rows per key group.
+    # One row per (keys, range): a millionth of the rows.
     across = (
         (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
         .orderBy(range_order)
@@ -98,13 +103,21 @@ def _heavy_values(edges: Sequence[float]) -> list[float]:
     return sorted({a for a, b in zip(edges, edges[1:], strict=False) if a == b})
 
 
+def _tie_position(df: DataFrame, tie: str) -> Column:
+    """A number that never falls as ``tie`` rises: the first six bytes of a text."""
+    if dict(df.dtypes)[tie] != "string":
+        return F.col(tie).cast("double")
+    head = F.substring(F.rpad(F.substring(F.hex(F.col(tie)), 1, 12), 12, "0"), 1, 12)
+    return F.conv(head, 16, 10).cast("double")
+
+
 def row_numbers(
     df: DataFrame, first: str, then: str, tie: str, out: str = "rn", total: str | None = None
 ) -> DataFrame:
     """Number all rows from 1 by ``(first, then, tie)``, without one task holding them all.
 
     A value of ``first`` shared by a large part of the rows gets a range to itself, which is cut
-    again along ``then``. The input is written once, because edges, range sizes and rows each read
+    again along ``then``, or along ``tie`` where ``then`` is the same column. The input is written once, because edges, range sizes and rows each read
     it: pass only the columns you need.
     """
     df = materialize(df)
@@ -114,8 +127,10 @@ def row_numbers(
     ranged = with_range(df, first, cuts, "_r1")
     if heavy:
         crowded = F.col(first).cast("double").isin(heavy)
-        sub = value_edges(df.filter(crowded), then)
-        ranged = with_range(ranged, then, sub, "_r2").withColumn(
+        along = _tie_position(df, tie) if then == first else F.col(then).cast("double")
+        ranged = ranged.withColumn("_along", along)
+        sub = value_edges(ranged.filter(crowded), "_along")
+        ranged = with_range(ranged, "_along", sub, "_r2").drop("_along").withColumn(
             "_r2", F.when(crowded, F.col("_r2")).otherwise(F.lit(0.0))
         )
     else:
@@ -185,8 +200,7 @@ def exact_quantiles(
         ]
     )
     targets = sizes.select(*keys, wanted.alias("_wanted"), F.lit(1).alias("_k"))
-    if not keys:
-        targets = F.broadcast(targets)  # exactly one row
+    targets = small_side(targets)  # one row per key group
     join_keys = [*keys, "_k"]
     first = F.col("before__n")
     last = F.col("before__n") + F.col("_n") - 1

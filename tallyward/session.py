@@ -9,6 +9,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "tallyward", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -64,6 +65,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table of few narrow columns that are sent to every task; beyond, joins shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written and, if it is counted to be small, marked for broadcast."""
+    written = materialize(df)
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def ship(module: str) -> None:
     """Pickle what ``module`` defines by value, so that executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import LABELS, at, column, events
+from pyspark.sql import functions as F
 
 from tallyward.operators.audit import leakage_audit, parity
 from tallyward.operators.features import compute_features, feature_names, smoothed_rate
@@ -170,3 +171,10 @@ def test_guards(spark):
     with pytest.raises(ValueError, match="window lengths"):
         check_windows([Additive("x", "y", 0)])
     assert DAY_MS == WINDOWS_MS["24h"]
+
+
+def test_naive_sums_keep_money_below_a_cent_and_unknown_labels_count_zero(spark):
+    rows = events(spark, [("c", 0, 0.125), ("c", 60, 0.125)]).withColumn("is_fraud", F.lit(None).cast("boolean"))
+    out = compute_naive_features(rows, with_labels=True).first()
+    assert (out["card_amount_sum_1h"], out["card_amount_mean_30d"]) == (0.25, 0.125)
+    assert out["card_prior_fraud_labels"] == 0
