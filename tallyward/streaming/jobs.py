@@ -17,7 +17,7 @@ from tallyward.operators.prep import latest_by_key
 from tallyward.session import materialize, scratch_path
 from tallyward.settings import REVIEW, CostModel
 from tallyward.sources.contracts import accepted, decode_events, decode_labels, quarantined
-from tallyward.streaming.state import FeatureState
+from tallyward.streaming.state import FeatureState, once, refuse_rewind
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,7 @@ def ingest_events(state: FeatureState, quarantine: str | None = None) -> Callabl
     """A batch handler that keeps the feature state current from event messages."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        refuse_rewind(batch.sparkSession, f"{state.root}/events", batch_id)
         decoded = decode_events(batch)
         state.add_events(accepted(decoded), batch_id)
         if quarantine:
@@ -87,6 +88,7 @@ def ingest_events(state: FeatureState, quarantine: str | None = None) -> Callabl
 
 def ingest_labels(state: FeatureState, quarantine: str | None = None) -> Callable:
     def handle(batch: DataFrame, batch_id: int) -> None:
+        refuse_rewind(batch.sparkSession, f"{state.root}/labels", batch_id)
         decoded = decode_labels(batch)
         state.add_labels(accepted(decoded), batch_id)
         if quarantine:
@@ -103,6 +105,7 @@ def build_features(state: FeatureState, output: str) -> Callable:
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        refuse_rewind(batch.sparkSession, f"{state.root}/events", batch_id)
         events = materialize(accepted(decode_events(batch)))
         state.add_events(events, batch_id)
         features = state.features(events, upto=batch_id)
@@ -138,8 +141,9 @@ def decide_batches(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        refuse_rewind(spark, output, batch_id)
         rows = materialize(
-            batch.dropDuplicates(["txn_id"])
+            once(batch)
             .withColumn("event_ms", event_ms())
             .withColumn("day", day_number(F.col("event_ms")))
         )
@@ -183,6 +187,7 @@ def sink_decisions(output: str) -> Callable:
     """A batch handler that stores decision records; a later batch overwrites by transaction."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        refuse_rewind(batch.sparkSession, output, batch_id)
         decision_rows(decode_records(batch)).write.mode("overwrite").parquet(
             f"{output}/batch_id={batch_id}"
         )

@@ -94,13 +94,32 @@ def first_times(events: DataFrame) -> DataFrame:
     )
 
 
+def once(df: DataFrame) -> DataFrame:
+    """One row per transaction: of redelivered rows that differ, the smallest by all other columns in order."""
+    rest = [c for c in df.columns if c != "txn_id"]
+    return df.groupBy("txn_id").agg(F.min(F.struct(*rest)).alias("_row")).select("txn_id", "_row.*").select(*df.columns)
+
+
+def refuse_rewind(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Fail where ``path`` already holds a later batch: a query that lost its checkpoint starts again at
+    batch 0, and would overwrite other data than its own. Writing the last batch again is a retry."""
+    try:
+        last = spark.read.option("basePath", path).parquet(path).agg(F.max("batch_id")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return
+    if last is not None and last > batch_id:
+        raise ValueError(f"{path} holds batch {last}, later than {batch_id}: give a restarted query a folder of its own")
+
+
 @dataclass(frozen=True)
 class FeatureState:
     """Folders of one feature state under ``root``, which every executor must reach."""
 
     root: str
     trim_history: bool = True
-    lifetime_days: int | None = 400
+    lifetime_days: int | None = None  # with a number, compaction forgets keys idle for longer
 
     # ------------------------------------------------------------ write path
 
@@ -111,16 +130,14 @@ class FeatureState:
         writer.parquet(f"{self.root}/{table}/batch_id={batch_id}")
 
     def add_events(self, events: DataFrame, batch_id: int) -> None:
-        kept = events.select(
-            "txn_id", "event_ts", "card_id", "device_id", "merchant_id", "amount"
-        ).dropDuplicates(["txn_id"])
+        kept = once(events.select("txn_id", "event_ts", "card_id", "device_id", "merchant_id", "amount"))
         self._put(
             kept.withColumn("event_day", day_number(event_ms())), "events", batch_id, "event_day"
         )
         self._put(first_times(events), "first_seen", batch_id, "kind")
 
     def add_labels(self, labels: DataFrame, batch_id: int) -> None:
-        kept = labels.select(*LABEL_STATE.names[:-1]).dropDuplicates(["txn_id"])
+        kept = once(labels.select("label_ts", *[n for n in LABEL_STATE.names[:-1] if n != "label_ts"]))
         self._put(kept, "labels", batch_id)
 
     # ------------------------------------------------------------ read path
@@ -138,10 +155,16 @@ class FeatureState:
         df = self._table(spark, "events", EVENT_STATE)
         return df if upto is None else df.filter(F.col("batch_id") <= upto)
 
-    def labels(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
-        """Every label once, by its earliest arrival."""
+    def labels(
+        self, spark: SparkSession, upto: int | None = None, only: DataFrame | None = None
+    ) -> DataFrame:
+        """Every label once, by its earliest arrival; ``only`` (one column) keeps those of its keys.
+
+        Keys are met before repeated labels are dropped, so only the labels asked for are shuffled.
+        """
         df = self._table(spark, "labels", LABEL_STATE)
         df = df if upto is None else df.filter(F.col("batch_id") <= upto)
+        df = df if only is None else df.join(only, only.columns[0], "left_semi")
         names = LABEL_STATE.names[1:-1]
         once = df.groupBy("txn_id").agg(F.min_by(F.struct(*names), "label_ts").alias("_l"))
         return once.select("txn_id", "_l.*")
@@ -189,18 +212,22 @@ class FeatureState:
         devices that occur in ``rows``.
         """
         spark = rows.sparkSession
-        asked = materialize(rows.select(*EVENT_STATE.names[:6]).dropDuplicates(["txn_id"]))
+        asked = materialize(once(rows.select(*EVENT_STATE.names[:6])))
         first = asked.agg(F.min(event_ms())).first()[0]
         past = self.events(spark, upto)
         if self.trim_history and first is not None:
             past = past.filter(F.col("event_day") >= (first - DEVIATION_WINDOW_MS) // DAY_MS)
-        past = past.dropDuplicates(["txn_id"]).join(asked.select("txn_id"), "txn_id", "left_anti")
-        labels = self.labels(spark, upto)
+        past = past.select(*EVENT_STATE.names[:6]).join(asked.select("txn_id"), "txn_id", "left_anti")
         raw = _rows(asked)
-        context = _rows(past).withColumn("_asks", F.lit(False))
+
+        def context(keys: DataFrame) -> DataFrame:
+            """History of some keys: met first, repeated rows dropped after, in a table of their size."""
+            met = once(past.join(keys, keys.columns[0], "left_semi"))
+            return _rows(met).withColumn("_asks", F.lit(False))
+
         cards = asked.select("card_id").distinct()
-        mine = raw.unionByName(context.join(cards, "card_id", "left_semi").select(*raw.columns))
-        with_labels = _with_fraud_labels(mine, labels.join(cards, "card_id", "left_semi"))
+        mine = raw.unionByName(context(cards).select(*raw.columns))
+        with_labels = _with_fraud_labels(mine, self.labels(spark, upto, cards))
         staged = behaviour(
             with_labels,
             "card_id",
@@ -212,7 +239,7 @@ class FeatureState:
             busy=busy_keys(mine, "card_id", "_ms", policy),
         )
         devices = asked.filter(F.col("device_id").isNotNull()).select("device_id").distinct()
-        near = context.join(devices, "device_id", "left_semi").select(*context.columns)
+        near = context(devices)
         keyed = staged.unionByName(near, allowMissingColumns=True).withColumn(
             "_device", F.coalesce("device_id", F.concat(F.lit("none:"), F.col("txn_id")))
         )
@@ -227,7 +254,8 @@ class FeatureState:
             busy=busy_keys(raw.unionByName(near), "device_id", "_ms", policy),
         )
         staged = self._with_first_seen(staged, upto)
-        known = merchant_label_days(raw, labels)
+        shops = asked.select("merchant_id").distinct()
+        known = merchant_label_days(raw, self.labels(spark, upto, shops))
         staged = staged.withColumn("_day", day_number(F.col("_ms"))).join(
             known, ["merchant_id", "_day"], "left"
         )

@@ -1,3 +1,4 @@
+import pytest
 from helpers import LABELS, at, column, events
 from pyspark.sql import functions as F
 
@@ -5,8 +6,8 @@ from tallyward.operators.audit import parity
 from tallyward.operators.features import compute_features
 from tallyward.session import scratch_path
 from tallyward.settings import CostModel
-from tallyward.streaming.jobs import decide_batches, read_batches
-from tallyward.streaming.state import CARD_DEVICE, FeatureState
+from tallyward.streaming.jobs import append_jsonl, decide_batches, read_batches
+from tallyward.streaming.state import CARD_DEVICE, FeatureState, once
 
 
 def _labels(spark):
@@ -91,3 +92,28 @@ def test_streaming_budget_carries_over_and_retries_agree(spark):
     handle(base.filter("txn_id >= 't001'"), 1)
     got = column(read_batches(spark, out), "action")
     assert got[:3] == ["review"] * 3 and "review" not in got[3:]
+
+
+def test_a_restarted_query_does_not_overwrite_later_batches(spark):
+    out = scratch_path(spark, "decided")
+    base = events(spark, [("c", s, 5_000) for s in range(3)]).withColumn("probability", F.lit(0.3)).withColumn(
+        "forced", F.lit(None).cast("string")
+    )
+    handle = decide_batches(out, CostModel(), threshold=0.0, reviews_per_day=3)
+    handle(base.limit(1), 0)
+    handle(base, 1)
+    with pytest.raises(ValueError, match="later than 0"):
+        handle(base, 0)
+
+
+def test_redelivered_rows_that_differ_have_one_survivor(spark):
+    rows = events(spark, [("c", 0, 5), ("c", 0, 3)]).withColumn("txn_id", F.lit("t"))
+    for n in (1, 3):
+        assert [r["amount"] for r in once(rows.repartition(n)).collect()] == [3.0]
+
+
+def test_messages_are_appended_as_lines(spark, tmp_path):
+    sent = spark.createDataFrame([("k", '{"a": 1}')], "key string, value string")
+    append_jsonl(sent, str(tmp_path / "out"))
+    append_jsonl(sent, str(tmp_path / "out"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a": 1}'] * 2
