@@ -448,9 +448,9 @@ SELECT *, substr(sha256(concat_ws('|', n_rows, first_ms, last_ms, amount_cents,
 
 
 def event_order_holdout(spark: SparkSession, sf: str) -> DataFrame:
-    """The last tenth in event order, capped, against the history before it."""
+    """The last tenth in event order against the history before it."""
     past, labels, requests = history.holdout(
-        ev(spark, sf).withColumn("is_fraud", F.lit(False)), request_share=0.1, max_requests=500
+        ev(spark, sf).withColumn("is_fraud", F.lit(False)), request_share=0.1
     )
     part = F.lit
     return (
@@ -471,7 +471,7 @@ UNION ALL
 SELECT txn_id, 'label' FROM ordered WHERE rn <= cut
   AND ms + 1209600000 < (SELECT min(ms) FROM ordered WHERE rn = cut + 1)
 UNION ALL
-SELECT txn_id, 'request' FROM ordered WHERE rn > cut AND rn <= cut + 500
+SELECT txn_id, 'request' FROM ordered WHERE rn > cut
 """
 
 

@@ -80,12 +80,11 @@ def holdout(
     events: DataFrame,
     *,
     request_share: float = 0.1,
-    max_requests: int = 20_000,
+    max_requests: int | None = None,
     delay: LabelDelay = LabelDelay(),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(history, known labels, requests): the last share of rows are requests, capped in number.
-
-    Labels count as known if they arrived before the first request.
+    """(history, known labels, requests): the last share of rows are requests, all of them unless a
+    cap is asked for. Labels count as known if they arrived before the first request.
     """
     ordered = materialize(
         row_numbers(
@@ -95,9 +94,10 @@ def holdout(
     cutoff = int(ordered.count() * (1 - request_share))
     first = ordered.filter(F.col("_rn") == cutoff + 1).select("_ms").first()
     history = ordered.filter(F.col("_rn") <= cutoff).drop("_ms", "_rn")
-    requests = ordered.filter(
-        (F.col("_rn") > cutoff) & (F.col("_rn") <= cutoff + max_requests)
-    ).drop("_ms", "_rn")
+    late = F.col("_rn") > cutoff
+    if max_requests is not None:
+        late &= F.col("_rn") <= cutoff + max_requests
+    requests = ordered.filter(late).drop("_ms", "_rn")
     labels = label_events(history, delay)
     if first is not None:
         labels = labels.filter(event_ms("label_ts") < first[0])
