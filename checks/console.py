@@ -342,15 +342,15 @@ costs AS (
     UNION ALL SELECT txn_id, 'block', (1.0 - p) * (0.1::DOUBLE * amount + 2.0) FROM decisions) GROUP BY txn_id
 )
 SELECT d.txn_id, CAST(11 AS BIGINT) AS facts, cheapest_first, CAST(1 AS BIGINT) AS reasons,
-  'Amount=' || format('{{:,.2f}}', amount) || ' USD/' || CASE WHEN n % 4 = 0 THEN 'no spend in the previous 30 days'
-    ELSE 'mean ' || format('{{:,.2f}}', CAST(format('{{:.2f}}', amount * 2) AS DOUBLE)) || ' USD over 30 days'
-      || CASE WHEN n % 8 > 2 THEN ' (this one is +1.3 standard deviations)' ELSE '' END END
-  || ';Card transactions=' || (n % 7) || ' in the previous hour/' || (n % 7 + 12) || ' in the previous 24 hours ('
-  || format('{{:.1f}}', round((n % 7 + 12) / 24.0 + 1e-9, 1)) || ' per hour)'
-  || CASE WHEN n % 5 <> 0 THEN ';Device=' || CASE n % 3 WHEN 0 THEN 'used by this card before'
-       WHEN 1 THEN 'new for this card' ELSE 'no device' END || '/2 distinct devices in 24 hours' ELSE '' END
-  || CASE WHEN n % 2 = 0 THEN ';Merchant=' || merchant_id || '/new for this card' ELSE '' END
-  || ';Card age=3.5 days since first seen/' AS baseline,
+  'amount=' || format('{{:,.2f}}', amount) || ' USD/' || CASE WHEN n % 4 = 0 THEN 'no 30-day average'
+    ELSE '30-day average ' || format('{{:,.2f}}', CAST(format('{{:.2f}}', amount * 2) AS DOUBLE)) || ' USD'
+      || CASE WHEN n % 8 > 2 THEN ', z +1.3' ELSE '' END END
+  || ';payments=' || (n % 7) || ' in 1h/' || (n % 7 + 12) || ' in 24h, '
+  || format('{{:.1f}}', round((n % 7 + 12) / 24.0 + 1e-9, 1)) || ' an hour'
+  || CASE WHEN n % 5 <> 0 THEN ';device=' || CASE n % 3 WHEN 0 THEN 'known' WHEN 1 THEN 'new' ELSE 'none' END
+       || '/2 devices in 24h' ELSE '' END
+  || CASE WHEN n % 2 = 0 THEN ';merchant=' || merchant_id || '/new' ELSE '' END
+  || ';first use=3.5 days ago/' AS baseline,
   coalesce(h.history, '') AS history, v.verdict
 FROM decisions d JOIN costs USING (txn_id) LEFT JOIN h ON h.case_id = d.txn_id
 LEFT JOIN verdicts v ON v.txn_id = d.txn_id WHERE d.action = 'review'"""
