@@ -174,13 +174,13 @@ PROPOSALS_SQL = rounded_sql(
 
 # ---------------------------------------------------------------- tuning
 
-CANDIDATES, LEVELS = 12, 8
-BUDGETS = (0, 2, 10)
+CANDIDATES, LEVELS = 200, 30
+BUDGETS = (0, 5, 10, 20, 50, 100, 200, 500)
 
 
 def _tuning_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The test window: the long one, so tuning sees most of the table."""
-    return rows(spark, sf).filter(F.col("split") == "test")
+    """The window that thresholds are tuned on."""
+    return rows(spark, sf).filter(F.col("split") == "calibration")
 
 
 def threshold_losses(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +193,7 @@ _LEVEL_LIST = ", ".join(repr(i / (CANDIDATES - 1)) for i in range(CANDIDATES))
 _BUDGET_VALUES = ", ".join(f"({b})" for b in BUDGETS)
 THRESHOLDS_SQL = rounded_sql(
     f"""WITH {ROWS_SQL},
-    tune AS (SELECT * FROM costed WHERE split = 'test'),
+    tune AS (SELECT * FROM costed WHERE split = 'calibration'),
     grid AS (SELECT DISTINCT threshold FROM (
       SELECT 0.0::DOUBLE AS threshold UNION ALL
       SELECT unnest(quantile_cont(review_benefit, [{_LEVEL_LIST}])) FROM tune
@@ -231,7 +231,7 @@ def probability_losses(spark: SparkSession, sf: str) -> DataFrame:
 _SHARES = ", ".join(repr(1.0 - 0.5 * (1e-5 / 0.5) ** (i / (LEVELS - 1))) for i in range(LEVELS))
 PAIRS_SQL = rounded_sql(
     f"""WITH {ROWS_SQL},
-    tune AS (SELECT * FROM costed WHERE split = 'test'),
+    tune AS (SELECT * FROM costed WHERE split = 'calibration'),
     grid AS (SELECT DISTINCT v FROM (
       SELECT unnest(quantile_cont(probability, [{_SHARES}])) AS v FROM tune UNION ALL SELECT 2.0)),
     pairs AS (SELECT a.v AS review_at, b.v AS block_at FROM grid a JOIN grid b ON a.v <= b.v),
@@ -280,7 +280,7 @@ def window_summary(spark: SparkSession, sf: str) -> DataFrame:
 SUMMARY_SQL = rounded_sql(
     f"""WITH {ROWS_SQL} SELECT split, count(*) AS n_rows, count(DISTINCT day) AS n_days,
     count(*) FILTER (is_fraud) / CAST(count(*) AS DOUBLE) AS fraud_rate,
-    CAST(coalesce(sum(cents) FILTER (is_fraud), 0) AS BIGINT) / 100.0 AS fraud_value,
+    CAST(coalesce(sum(mu) FILTER (is_fraud), 0) AS BIGINT) / 1000.0 AS fraud_value,
     count(*) FILTER (forced IS NOT NULL) AS overridden FROM costed GROUP BY split""",
     ["fraud_rate", "fraud_value"],
 )
