@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.where("a is not null and b is not null").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    nodes = both.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    nodes = both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct()
     edges = materialize(both.where("a <> b").distinct())
     while True:
         sums = edges.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s")).first()

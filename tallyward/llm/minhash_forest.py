@@ -16,6 +16,7 @@ nothing; rows without id stand alone; rows that share an id share its component;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,12 +36,12 @@ ship(__name__)
 @dataclass(frozen=True)
 class ForestSettings:
     """A pair of similarity 0.8 shares a region of some tree with probability 1 - (1 - 0.8**depth) ** trees,
-    0.999997 with the defaults."""
+    0.99998 with the defaults. Of each hash 16 bits are kept."""
 
     words: int = 5
     percent: int = 80  # least 100 * intersection / union
-    trees: int = 32
-    depth: int = 5
+    trees: int = 36
+    depth: int = 6
     deepest: int = 10
     part: int = 512  # documents of a region that are sorted together before it is split
     neighbours: int = 3
@@ -59,7 +60,7 @@ def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         np.minimum(out, h.min(axis=1), out=out)
-    return out
+    return out.astype(np.uint16)  # the low bits: those of a minimum are as good as random
 
 
 def sketch(docs: DataFrame, settings: ForestSettings) -> DataFrame:
@@ -80,7 +81,7 @@ def sketch(docs: DataFrame, settings: ForestSettings) -> DataFrame:
                     n.append(first[i + 1] - first[i])
                     k1.append(values[own].sum(dtype=U64).astype(np.int64))
                     k2.append(other[own].sum(dtype=U64).astype(np.int64))
-                    sig.append(signature(values[own], a, b).astype(">u4").tobytes() if n[-1] else None)
+                    sig.append(signature(values[own], a, b).tobytes() if n[-1] else None)
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "n": np.array(n, dtype=np.int64), "k1": k1, "k2": k2, "sig": sig}
             )
@@ -92,28 +93,26 @@ def sketch(docs: DataFrame, settings: ForestSettings) -> DataFrame:
 
 def candidates(reps: DataFrame, settings: ForestSettings) -> DataFrame:
     """Pairs ``a`` < ``b`` of representatives with ``votes``, the number of times they were proposed."""
-    around = F.concat("sig", F.substring("sig", 1, 4 * settings.deepest))
+    around = F.concat("sig", F.substring("sig", 1, 2 * settings.deepest))
+    head, more = 2 * settings.depth, 2 * (settings.deepest - settings.depth)
+    begin = F.col("tree") * head + 1
     paths = reps.select(
         "rep", around.alias("around"), F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree")
     ).select(
         "rep",
-        F.substring(F.col("around"), F.col("tree") * (4 * settings.depth) + 1, F.lit(4 * settings.deepest)).alias("path"),
-        "tree",
+        F.xxhash64("tree", F.substring(F.col("around"), begin, F.lit(head))).alias("region"),
+        F.substring(F.col("around"), begin + head, F.lit(more)).alias("path"),
     )
-    region = F.xxhash64("tree", F.substring("path", 1, 4 * settings.depth))
     regions = materialize(
-        paths.select(region.alias("region"), "rep")
-        .groupBy("region")
-        .agg(F.count("*").alias("size"), F.min("rep").alias("leader"))
-        .where("size > 1")
+        paths.groupBy("region").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
     )
-    members = paths.withColumn("region", region).join(regions, "region")
+    members = paths.join(regions, "region")
     # adaptive depth: one more hash for each doubling beyond a part, then parts by id
     extra = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("size") / settings.part)))
-    deep = F.least(F.lit(settings.deepest), settings.depth + extra).cast("int")
+    deep = F.least(F.lit(settings.deepest - settings.depth), extra).cast("int")
     shares = F.greatest(F.lit(1), F.ceil(F.col("size") / (16 * settings.part)))
-    part = F.when(deep < settings.deepest, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), shares))
-    members = members.withColumn("sub", F.xxhash64("region", F.substring(F.col("path"), F.lit(1), 4 * deep), part))
+    part = F.when(deep < settings.deepest - settings.depth, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), shares))
+    members = members.withColumn("sub", F.xxhash64("region", F.substring(F.col("path"), F.lit(1), 2 * deep), part))
     ordered = W.partitionBy("sub").orderBy("path", "rep")
     found = members.select(
         "rep",
@@ -131,15 +130,26 @@ def candidates(reps: DataFrame, settings: ForestSettings) -> DataFrame:
     )
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """``id`` and the text's bytes, compressed."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(
+                {"id": batch["doc_id"], "text": [zlib.compress(t, 1) for t in encoded(batch["text"])]}
+            )
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(work, "id long, text binary")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, settings: ForestSettings) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. ``texts``: ``id`` (unique), ``text``."""
+    """The pairs whose full shingle sets are similar enough. ``texts``: ``id``, ``text`` (compressed)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            left, right = encoded(batch["text_a"]), encoded(batch["text_b"])
             keep = np.zeros(len(batch), dtype=bool)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                values, first = shingle_sets([x, y], settings.words)
+            for i, both in enumerate(zip(batch["text_a"], batch["text_b"], strict=True)):
+                values, first = shingle_sets([zlib.decompress(t) for t in both], settings.words)
                 p, q = first[1], first[2] - first[1]
                 common = p + q - len(np.unique(values))
                 keep[i] = common > 0 and 100 * common >= settings.percent * (p + q - common)
@@ -164,12 +174,9 @@ def near_duplicates(docs: DataFrame, settings: ForestSettings | None = None) ->
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     )
     pairs = materialize(candidates(reps, settings))
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(
-        docs.select(F.col("doc_id").alias("id"), "text")
-        .join(involved, "id", "left_semi")
-        .dropDuplicates(["id", "text"])
-    )
+    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # the list of ids grows with the corpus, so texts are always met by a shuffle, compressed
+    texts = materialize(compressed(docs).join(involved.hint("merge"), "id", "left_semi"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
     links = materialize(confirmed(best, texts, settings))
     place = materialize(components(links))
