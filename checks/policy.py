@@ -13,6 +13,7 @@ from checks.reports import REPORT_DIGITS, REPORT_DOUBLES, report_sql, scored
 from tallyward.operators import policy
 from tallyward.operators.rules import apply_rules, fit_thresholds
 from tallyward.plans.rules_baseline import rule_frame
+from tallyward.plans.sweep import cost_sensitivity as tune_under_variants
 from tallyward.plans.sweep import run_policy_sweep
 from tallyward.session import materialize
 from tallyward.settings import CostModel, Overrides, PolicySettings
@@ -350,7 +351,7 @@ UNION ALL SELECT 'override_is_not_approve_or_block', count(*) FILTER (override_r
 def policy_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Budgets x policies, tuned on the calibration window and judged on the test window."""
     settings = PolicySettings(
-        reviews_per_day=BUDGET, review_budget_sweep=(0, 2, 10), threshold_candidates=CANDIDATES
+        reviews_per_day=BUDGET, review_budget_sweep=BUDGETS, threshold_candidates=CANDIDATES
     )
     frame = materialize(rule_frame(li(spark, sf)))
     flagged = apply_rules(frame, fit_thresholds(frame.filter(F.col("split") == "train")))
@@ -358,6 +359,14 @@ def policy_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(result.outcomes, 3)
 
 
+def tuned_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """The operating budget tuned and judged again under every cost variant."""
+    table = rows(spark, sf)
+    settings = PolicySettings(reviews_per_day=BUDGET, threshold_candidates=CANDIDATES)
+    test = table.filter(F.col("split") == "test")
+    return rounded(tune_under_variants(_tuning_rows(spark, sf), test, COSTS, settings), 3)
+
+
 def decide_many_settings(spark: SparkSession, sf: str) -> DataFrame:
     """Reviews and capped rows of several settings decided in one pass."""
     settings = [
@@ -416,6 +425,7 @@ QUERIES: dict[str, Query] = {
     "cost_sensitivity": cost_sensitivity,
     "policy_input_problems": policy_input_problems,
     "policy_sweep": policy_sweep,
+    "tuned_sensitivity": tuned_sensitivity,
 }
 ORACLES: dict[str, str] = {
     "decide_many_settings": MANY_SQL,

@@ -34,7 +34,7 @@ def test_a_fitted_model_is_swept_tuned_and_served(spark, trained):
     result = run_policy_sweep(scored[0], fired, costs=CostModel(), policy=settings)
     outcomes = result.outcomes.collect()
     assert {r["reviews_per_day"] for r in outcomes if r["policy"] == EXPECTED_LOSS} == {0, 2}
-    sensitivity = result.sensitivity.collect()
+    sensitivity = result.sensitivity().collect()
     assert [r["variant"] for r in sensitivity][0] == "as given" and len(sensitivity) == 7
     assert sensitivity[0]["review_threshold"] == result.tuned[2].review_threshold
     tuned = tuned_policy(result, bundle, "v1", CostModel(), 2)
