@@ -46,9 +46,9 @@ SPANS = "rank_id long, text_key long, start long, windows int, settled boolean"
 class SubstringSettings:
     window: int = 50
     q: int = 20
-    bucket_bytes: int = 32_000_000  # text behind one group of buckets
-    refined: int = 150_000  # runs in one group of the last refinement
-    flush: int = 3_000_000  # runs gathered in a task before they are sent
+    bucket_bytes: int = 16_000_000  # text behind one group of buckets
+    refined: int = 40_000  # runs in one group of the last refinement
+    flush: int = 1_000_000  # runs gathered in a task before they are sent
 
 
 def _keys():
@@ -77,13 +77,16 @@ def _sent(gathered: list[tuple[np.ndarray, ...]], groups: int) -> pd.DataFrame:
     """Runs of one task by bucket group; equal runs of the same task keep their smallest document only in
     ``first``, the others are marked as settled at once."""
     ids, keys, start, windows, gram, whole = (np.concatenate(c) for c in zip(*gathered, strict=True))
-    order = np.lexsort((ids, whole, gram))
+    order = np.lexsort((start, ids, whole, gram))
     g, w, d = gram[order], whole[order], ids[order]
     head = np.ones(len(order), dtype=bool)
     head[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
     least = d[head][np.cumsum(head) - 1]
     later = np.zeros(len(order), dtype=bool)
     later[order] = d > least
+    again = np.zeros(len(order), dtype=bool)  # the same run of a repeated row
+    at, before = order[1:], order[:-1]
+    again[at] = ~head[1:] & (d[1:] == d[:-1]) & (start[at] == start[before]) & (keys[at] == keys[before])
     group = (gram >> U64(40)) % U64(groups)
     rows = []
     place = np.argsort(group, kind="stable")  # keeps the order of documents, which packs well
@@ -92,6 +95,7 @@ def _sent(gathered: list[tuple[np.ndarray, ...]], groups: int) -> pd.DataFrame:
         own = place[edges[k] : edges[k + 1]]
         if not len(own):
             continue
+        own = own[~again[own]]
         live, done = own[~later[own]], own[later[own]]
         rows.append(
             (
@@ -235,8 +239,10 @@ def _compressed(docs: DataFrame) -> DataFrame:
 
 
 def _by_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("rank_id", "text_key").agg(
-        F.collect_list("start").alias("starts"), F.collect_list("windows").alias("counts")
+    """One row per text; repeated rows of a text bring the same runs, which count once."""
+    runs = spans.groupBy("rank_id", "text_key").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
+    return runs.select(
+        "rank_id", "text_key", F.col("runs.start").alias("starts"), F.col("runs.windows").alias("counts")
     )
 
 
