@@ -49,22 +49,28 @@ ALPHABETS = {
 }
 
 _WORD = r"\p{Lu}[\p{L}'-]{1,40}"
-#: Types in order of precedence. Every quantifier is bounded or anchored, so long runs cost linear time.
+_TITLES = "|".join([*FEMALE, *MALE, *NEUTRAL])
+#: Types in order of precedence. Quantifiers are bounded, and each type begins with a cheap test of one character,
+#: so that a scan stays linear and quick over text without entities. A secret includes the words that reveal it.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=password=)[^\s\"']{4,200}|(?<=token = \")[^\s\"]{8,200}(?=\")"
-    r"|(?<=token=)[^\s\"']{8,200}|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,60}\b",
+    "secret": r"(?=[Apgst])(?:\bAKIA[0-9A-Z]{16}\b|password=[^\s\"']{4,200}|token ?= ?\"?[^\s\"']{8,200}"
+    r"|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,60}\b)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "card": r"(?<![\d.+-])(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<![\d.+-])\d{13,19}(?!\d)",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])(?:\d{2,4}[ .-]){1,3}\d{2,4}(?!\d)|\+\d{8,15}(?!\d)"
-    r"|(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join([*FEMALE, *MALE, *NEUTRAL])})\.? {_WORD}(?: {_WORD})?",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "card": r"(?=\d)(?<![\d.+-])(?:(?:\d{4}[ -]){3}\d{1,7}|\d{13,19})(?!\d)",
+    "phone": r"(?=[\d+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])(?:\d{2,4}[ .-]){1,3}\d{2,4}(?!\d)"
+    r"|\+\d{8,15}(?!\d)|(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
+    "name": rf"(?=[{''.join(sorted({t[0] for t in _TITLES.split('|')}))}])(?<!\p{{L}})(?:{_TITLES})\.? {_WORD}(?: {_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity contains; most lines have none of it.
-HINT = rf"[0-9@]|password=|token|(?:{'|'.join([*FEMALE, *MALE, *NEUTRAL])})\.? \p{{Lu}}"
+
+
+def _may_hold() -> Column:
+    """False only for texts without any entity; decided by plain searches."""
+    text = F.col("text")
+    return F.coalesce(text.rlike("[0-9@]") | text.contains("password=") | text.contains("token") | text.rlike(PATTERNS["name"]), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -148,7 +154,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, settings: SurrogateS
         F.substring_index(host, ".", -1),
     )
     octet = [F.pmod(_draw(stream, k), F.lit(256)).cast("string") for k in (1, 2, 3)]
-    kept = F.when(kind == "secret", F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-)", 1)).otherwise(
+    kept = F.when(kind == "secret", F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|password=|token ?= ?\"?)", 1)).otherwise(
         F.when(kind == "phone", F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-])|\+\d)", 1)).otherwise(
             F.when(kind == "iban", F.substr(value, F.lit(1), F.lit(2))).otherwise(
                 F.when(kind == "card", F.substr(value, F.lit(1), F.lit(1))).otherwise(
@@ -168,24 +174,28 @@ def surrogate(kind: Column, value: Column, attempt: Column, settings: SurrogateS
 
 
 def kind_of(value: Column) -> Column:
-    """The type of a found entity; what only its surroundings reveal is a secret."""
+    """The type of a found entity, by the first pattern that it fits as a whole."""
     out = F.when(value.rlike(f"^(?:{PATTERNS['email']})$"), "email")
     for kind in ("iban", "ssn", "ip", "card", "phone", "name"):
         out = out.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return out.otherwise("secret")
 
 
-def entities(docs: DataFrame, settings: SurrogateSettings) -> DataFrame:
-    """Distinct entities of the corpus: ``value``, ``kind``, ``surrogate``, free of collisions."""
-    found = docs.where(F.col("text").rlike(HINT)).select(
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0))).alias("value")
+def found_in(docs: DataFrame) -> DataFrame:
+    """Distinct ``text_key`` (hash of the text) and ``value`` of all entities, written once."""
+    values = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0)))
+    return materialize(
+        docs.where(_may_hold()).select(F.xxhash64("text").alias("text_key"), values.alias("value")).distinct()
     )
-    known = materialize(found.distinct().withColumn("kind", kind_of(F.col("value"))))
-    drawn = materialize(
-        known.withColumn("attempt", F.lit(0)).withColumn(
-            "surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(0), settings)
-        )
+
+
+def entities(found: DataFrame, settings: SurrogateSettings) -> DataFrame:
+    """Distinct entities of the corpus: ``value``, ``kind``, ``surrogate``, free of collisions."""
+    known = materialize(found.select("value").distinct().withColumn("kind", kind_of(F.col("value"))))
+    drawn = known.withColumn("attempt", F.lit(0)).withColumn(
+        "surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(0), settings)
     )
+    drawn = materialize(drawn)
     while True:
         taken = W.partitionBy("surrogate").orderBy("attempt", "value")
         ranked = drawn.withColumn("rank", F.row_number().over(taken)).join(
@@ -210,33 +220,37 @@ def entities(docs: DataFrame, settings: SurrogateSettings) -> DataFrame:
 def replace(docs: DataFrame, settings: SurrogateSettings, count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``, plus ``pii_replaced`` (places replaced).
 
-    Texts with entities meet their replacements by text hash: copies share one row of replacements, and a hash
-    collision would only add unused entries. All other rows skip the shuffle.
+    Texts meet their replacements by text hash: copies share one row of replacements, and a hash collision would
+    only add unused entries. Texts that cannot hold an entity skip the shuffle.
     """
     columns = docs.columns
-    known = entities(docs, settings)
-    has_hint = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    marked = docs.select(*columns, F.when(has_hint, F.regexp_extract_all("text", F.lit(ANY), 0)).alias("_found"))
-    some = F.coalesce(F.size("_found") > 0, F.lit(False))
-    touched = marked.where(some).withColumn("_text_key", F.xxhash64("text"))
+    found = found_in(docs)
     maps = (
-        touched.select("_text_key", F.explode(F.array_distinct("_found")).alias("value"))
-        .distinct()
-        .join(known.select("value", "surrogate"), "value")
-        .groupBy("_text_key")
+        found.join(entities(found, settings).select("value", "surrogate"), "value")
+        .groupBy("text_key")
         .agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("_map"))
+        .withColumnRenamed("text_key", "_text_key")
+    )
+    met = docs.where(_may_hold()).withColumn("_text_key", F.xxhash64("text")).join(maps, "_text_key", "left")
+    has = F.col("_map").isNotNull()
+    parts = met.select(
+        *columns,
+        "_map",
+        F.when(has, F.split("text", ANY, -1)).alias("_pieces"),
+        F.when(has, F.regexp_extract_all("text", F.lit(ANY), 0)).alias("_found"),
     )
-    pieces = F.split("text", ANY, -1)
     written = F.array_join(
         F.transform(
-            pieces,
+            "_pieces",
             lambda p, i: F.concat(p, F.coalesce(F.element_at("_map", F.get("_found", i)), F.get("_found", i), F.lit(""))),
         ),
         "",
     )
-    changed = touched.join(maps, "_text_key").withColumn("text", written).select(
-        *columns, F.size("_found").alias("pii_replaced")
+    changed = parts.withColumn("text", F.coalesce(written, "text")).select(
+        *columns, F.coalesce(F.size("_found"), F.lit(0)).alias("pii_replaced")
     )
-    same = marked.where(~some).select(*columns, F.lit(0).alias("pii_replaced"))
+    # size() of a null array is -1 in the legacy mode of Spark
+    changed = changed.withColumn("pii_replaced", F.greatest("pii_replaced", F.lit(0)))
+    same = docs.where(~_may_hold()).select(*columns, F.lit(0).alias("pii_replaced"))
     out = same.unionByName(changed)
     return out.withColumn(count, F.length("text").cast(docs.schema[count].dataType)) if count else out
