@@ -16,6 +16,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyward.session import materialize
@@ -94,20 +95,21 @@ def marginal(cells: DataFrame, dimension: str, settings: MixSettings) -> DataFra
 
 
 def rake(cells: DataFrame, settings: MixSettings) -> DataFrame:
-    """Cells with ``weight`` that meets the target marginals; weights add up to 1."""
-    targets = {d: materialize(marginal(cells, d, settings)) for d in DIMENSIONS}
+    """Cells with ``weight`` that meets the target marginals; weights add up to 1.
+
+    Cells are counts, one row per combination that occurs, so a dimension's value is a small group here even
+    where it holds a third of all documents.
+    """
     current = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d in DIMENSIONS:
+        current = current.join(marginal(cells, d, settings).withColumnRenamed("target", f"target_{d}"), d)
+    current = materialize(current)
     for _ in range(settings.sweeps):
         for d in DIMENSIONS:
-            factor = (
-                current.groupBy(d)
-                .agg(F.sum("weight").alias("have"))
-                .join(targets[d], d)
-                .select(d, (F.col("target") / F.col("have")).alias("factor"))
-            )
-            current = current.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            have = F.sum("weight").over(W.partitionBy(d))
+            current = current.withColumn("weight", F.col("weight") * (F.col(f"target_{d}") / have))
         current = materialize(current)
-    return current
+    return current.drop(*[f"target_{d}" for d in DIMENSIONS])
 
 
 def chances(rows: DataFrame, settings: MixSettings) -> DataFrame:
