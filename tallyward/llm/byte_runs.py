@@ -12,7 +12,7 @@ from tallyward.session import ship
 ship(__name__)
 
 #: Bytes worked on at once; a longer text is cut into segments that overlap by one window less a byte.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
 
 
 class Runs(NamedTuple):

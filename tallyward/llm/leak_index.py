@@ -155,7 +155,7 @@ def retrieve(
     running = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, index.largest[ids], 0.0))])
     left = np.flatnonzero(running[end] - running[begin] >= least)
     blocks, n_items, terms = -(-len(index.ids) // s.block), len(index.ids), len(index.vocabulary)
-    at_once = max(1, 4_000_000 // max(blocks, s.window))
+    at_once = max(1, 2_000_000 // (s.window * max(1, min(blocks, s.window))))  # bounds what is gathered at once
     for k in range(0, len(left), at_once):
         chosen = left[k : k + at_once]
         sizes = end[chosen] - begin[chosen]

@@ -13,7 +13,7 @@ from tallyward.session import ship
 ship(__name__)
 
 #: Bytes of text worked on at once inside a task; a longer text is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
