@@ -6,11 +6,13 @@
   order, a document's candidates are its neighbours with the longest common prefix, the region's first document
   and the first document of its part.
 * Candidates are confirmed on the full shingle sets of whole texts. First every document's most frequent
-  candidate, then all others whose ends are still in different components: no candidate is dropped unless both
-  ends are already linked through others.
+  candidate, then all others whose ends are still in different components.
+* Then regions whose members are still in different components are met again: first each member with the member
+  of most links, then every remaining pair of different components. No pair of one region is left out unless both
+  ends are already linked through others, or the sizes of their sets alone exclude it.
 
-Work is linear in the documents: no region ever emits all its pairs, whatever its size, and a region is shuffled
-in parts. Defined results: null and empty texts, and texts without words, have an empty set and are linked with
+Work is linear where the members of a region are near copies. A region of many members that are not costs all its
+pairs; they are met in blocks, so no task holds a region. Defined results: null and empty texts, and texts without words, have an empty set and are linked with
 nothing; rows without id stand alone; rows that share an id share its component; extra columns are not read.
 """
 
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,14 +38,14 @@ ship(__name__)
 @dataclass(frozen=True)
 class ForestSettings:
     """A pair of similarity 0.8 shares a region of some tree with probability 1 - (1 - 0.8**depth) ** trees,
-    0.99998 with the defaults. Of each hash 16 bits are kept."""
+    0.99998 with the defaults, and every pair of a region is judged. Of each hash 16 bits are kept."""
 
     words: int = 5
     percent: int = 80  # least 100 * intersection / union
     trees: int = 36
     depth: int = 6
-    deepest: int = 10
-    part: int = 512  # documents of a region that are sorted together before it is split
+    deepest: int = 10  # of the first candidates only
+    part: int = 512  # documents of a region that are sorted together before it is split, or met in one block
     neighbours: int = 3
 
     @property
@@ -130,6 +132,63 @@ def candidates(reps: DataFrame, settings: ForestSettings) -> DataFrame:
     )
 
 
+def open_regions(reps: DataFrame, place: DataFrame, settings: ForestSettings) -> DataFrame:
+    """Members of the regions that hold more than one component: ``region``, ``size``, ``rep``, ``n``, ``place``."""
+    placed = reps.join(place.select(F.col("id").alias("rep"), F.col("component").alias("place")), "rep", "left")
+    head = 2 * settings.depth
+    members = placed.select(
+        "rep",
+        "n",
+        F.coalesce("place", "rep").alias("place"),
+        "sig",
+        F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree"),
+    ).select(
+        "rep", "n", "place", F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * head + 1, F.lit(head))).alias("region")
+    )
+    apart = (
+        members.groupBy("region")
+        .agg(F.count("*").alias("size"), F.min("place").alias("low"), F.max("place").alias("high"))
+        .where("low <> high")
+        .select("region", "size")
+    )
+    return members.join(apart, "region")
+
+
+def _may_pair(settings: ForestSettings, x: str = "x", y: str = "y") -> Column:
+    """Different components, and sizes that do not exclude the similarity (at most smaller / larger)."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (F.col(f"{x}.place") != F.col(f"{y}.place")) & (100 * F.least(n, m) >= settings.percent * F.greatest(n, m))
+
+
+def hub_pairs(members: DataFrame, links: DataFrame, settings: ForestSettings) -> DataFrame:
+    """Every member of an open region with the member that has most links."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    hubs = (
+        members.join(ends, "rep")
+        .groupBy("region")
+        .agg(F.max_by(F.struct("rep", "n", "place"), F.struct("degree", -F.col("rep"))).alias("hub"))
+        .select("region", "hub.*")
+    )
+    return _distinct_pairs(members.alias("x").join(hubs.alias("y"), "region").where(_may_pair(settings)))
+
+
+def rest_pairs(members: DataFrame, links: DataFrame, settings: ForestSettings) -> DataFrame:
+    """All pairs of an open region; blocks of at most about ``part`` members are met by pairs."""
+    blocks = F.ceil(F.col("size") / settings.part).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "region", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "n", "place"
+    )
+    met = dealt.alias("x").join(dealt.alias("y"), ["region", "one", "two"])
+    new = (F.col("one") == F.col("two")) | (F.col("x.block") != F.col("y.block"))
+    return _distinct_pairs(met.where((F.col("x.rep") < F.col("y.rep")) & new & _may_pair(settings)))
+
+
+def _distinct_pairs(met: DataFrame) -> DataFrame:
+    x, y = F.col("x.rep"), F.col("y.rep")
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def compressed(docs: DataFrame) -> DataFrame:
     """``id`` and the text's bytes, compressed."""
 
@@ -163,6 +222,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: ForestSettings) -> D
     return with_text.mapInPandas(work, "a long, b long")
 
 
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The compressed texts of all ends of ``pairs``."""
+    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # the list of ids grows with the corpus, so texts are always met by a shuffle, compressed
+    return materialize(compressed(docs).join(involved.hint("merge"), "id", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, settings: ForestSettings | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     settings = settings or ForestSettings()
@@ -174,9 +240,7 @@ def near_duplicates(docs: DataFrame, settings: ForestSettings | None = None) ->
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     )
     pairs = materialize(candidates(reps, settings))
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    # the list of ids grows with the corpus, so texts are always met by a shuffle, compressed
-    texts = materialize(compressed(docs).join(involved.hint("merge"), "id", "left_semi"))
+    texts = texts_of(docs, pairs)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
     links = materialize(confirmed(best, texts, settings))
     place = materialize(components(links))
@@ -186,8 +250,17 @@ def near_duplicates(docs: DataFrame, settings: ForestSettings | None = None) ->
         .join(place.select(F.col("id").alias("b"), F.col("component").alias("place_b")), "b", "left")
         .where(F.coalesce("place_a", "a") != F.coalesce("place_b", "b"))
     )
-    more = materialize(confirmed(apart, texts, settings))
-    place = components(links.unionByName(more))
+    links = materialize(links.unionByName(confirmed(apart, texts, settings)))
+    place = materialize(components(links))
+    judged = pairs  # all of them: refused, or within one component
+    for propose in (hub_pairs, rest_pairs):
+        members = open_regions(reps, place, settings)
+        proposed = materialize(propose(members, links, settings).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+        if proposed.isEmpty():
+            continue
+        judged = judged.select("a", "b").unionByName(proposed)
+        links = materialize(links.unionByName(confirmed(proposed, texts_of(docs, proposed), settings)))
+        place = materialize(components(links))
     classes = sketched.select("doc_id", "n", "k1", "k2").join(reps.drop("sig"), identity, "left")
     return classes.join(place.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id",

@@ -85,6 +85,24 @@ def test_near_duplicates_equal_brute_force(spark, corpus, size):
             assert r["component_id"] == find(r["doc_id"]) and r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_near_duplicates_find_every_leaf_of_a_star(spark):
+    """Leaves are near copies of one text but not of each other; the centre is not the smallest id."""
+    base = sentence(7, 240).split()
+    rows = [(500, " ".join(base), "en", "s", 0)]
+    for k in range(300):
+        w = list(base)
+        for j in range(4):  # up to 20 of 236 shingles
+            w[(k * 7 + j * 61 + (k // 30) * j * 5) % 240] = f"leaf{k}x{j}"
+        rows.append((k + (k >= 150) * 1000, " ".join(w), "en", "s", 0))
+    sets = {r[0]: shingles(r[1], 5) for r in rows}
+    want = {i for i, x in sets.items() if 100 * len(x & sets[500]) >= 80 * len(x | sets[500])}
+    assert len(want) == 301
+    assert sum(100 * len(sets[0] & x) >= 80 * len(sets[0] | x) for x in sets.values()) < 20
+    settings = minhash_forest.ForestSettings(words=5, part=64, neighbours=1)
+    got = minhash_forest.near_duplicates(documents(spark, rows), settings).collect()
+    assert {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_forest.near_duplicates(documents(spark, [])).count() == 0
 
