@@ -4,7 +4,9 @@ Entities are found by one pattern over whole texts. Every distinct entity gets a
 its type and value, so the same value reads the same everywhere (coreference) and nothing leads back without
 the key. Surrogates keep length, case, script, punctuation and what a type requires: country codes, top-level
 domains, check digits, titles and their gender. A collision check over all entities of the corpus moves every
-surrogate that two values share, or that is itself an entity of the corpus, to its next draw.
+surrogate that two values share, or that is itself an entity of the corpus, to its next draw. Later draws are
+longer (mail gets another domain label from the second draw on, numbers and secrets get digits from the fifth on), so
+the check ends however many values share a form.
 
 Defined results: null stays null; a text without entities is unchanged; rows need no id, and repeated rows get
 equal replacements. Only the text column is read or changed, and ``n_chars`` if ``count`` names it.
@@ -46,15 +48,22 @@ ALPHABETS = {
     "α-ω": "αβγδεζηθικλμνξοπρστυφχψω",
     "à-öø-ÿß": "àáâäæçèéêëìíîïñòóôöùúûü",
     "À-ÖØ-Þ": "ÀÁÂÄÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ",
+    r"\p{IsHan}": "安白北本昌大东方光国海和江金林明南平清山天文新中",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하",
+    r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてと",
+    r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテト",
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",  # of any other script
+    r"\p{N}": "0123456789",
 }
 
 _WORD = r"\p{Lu}[\p{L}'-]{1,40}"
+_TOLD = r"(?=[^\s\"'\p{L}\p{N}]*+[\p{L}\p{N}])"  # a row of asterisks or dashes tells no secret
 _TITLES = "|".join([*FEMALE, *MALE, *NEUTRAL])
 #: Types in order of precedence. Quantifiers are bounded, and each type begins with a cheap test of one character,
 #: so that a scan stays linear and quick over text without entities. A secret includes the words that reveal it.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
-    "secret": r"(?=[Apgst])(?:\bAKIA[0-9A-Z]{16}\b|password=[^\s\"']{4,200}|token ?= ?\"?[^\s\"']{8,200}"
+    "secret": rf"(?=[Apgst])(?:\bAKIA[0-9A-Z]{{16}}\b|password={_TOLD}[^\s\"']{{4,200}}|token ?= ?\"?{_TOLD}[^\s\"']{{8,200}}"
     r"|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,60}\b)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -93,7 +102,8 @@ def _syllable(parts: list[str], stream: Column, i: Column) -> Column:
 
 
 def _redrawn(value: Column, stream: Column) -> Column:
-    """Every letter and digit replaced by one of its own script and case; a hex text stays hex."""
+    """Every letter and digit replaced by one of its own script and case (of a script without an alphabet here, by
+    a Latin one); a hex text stays hex."""
     is_hex = value.rlike("^[0-9a-f]+$") & value.rlike("[0-9]") & value.rlike("[a-f]")
 
     def one(c: Column, i: Column) -> Column:
@@ -145,11 +155,17 @@ def surrogate(kind: Column, value: Column, attempt: Column, settings: SurrogateS
     stem = F.concat_ws("\u0001", F.lit(settings.key), kind, value, attempt.cast("string"))
     stream = F.concat(F.sha2(F.concat(stem, F.lit("0")), 256), F.sha2(F.concat(stem, F.lit("1")), 256))
     host = F.regexp_extract(value, "@(.*)$", 1)
+    # what later attempts add, longer each time, so that no value runs out of surrogates
+    more = F.reverse(stream)
+    label = F.substr(F.translate(more, "0123456789abcdef", "bcdfghklmnprstvz"), F.lit(1), F.least(2 + 2 * attempt, F.lit(40)))
+    digits = F.substr(F.translate(more, "abcdef", "012345"), F.lit(1), F.least(2 * (attempt - 3), F.lit(40)))
+    longer = F.when(attempt > 3, digits).otherwise("")
     outer = F.regexp_extract(host, r"^(.*)\.[^.]+\.[^.]+$", 1)  # labels before the last two
     mail = F.concat(
         _redrawn(F.substring_index(value, "@", 1), stream),
         F.lit("@"),
         F.when(outer != "", F.concat(_redrawn(outer, F.reverse(stream)), F.lit("."))).otherwise(""),
+        F.when(attempt > 0, F.concat(label, F.lit("."))).otherwise(""),
         F.lit("example."),
         F.substring_index(host, ".", -1),
     )
@@ -163,10 +179,10 @@ def surrogate(kind: Column, value: Column, attempt: Column, settings: SurrogateS
             )
         )
     )
-    rest = F.concat(kept, _redrawn(F.substr(value, F.length(kept) + 1, F.length(value)), stream))
+    rest = F.concat(kept, _redrawn(F.substr(value, F.length(kept) + 1, F.length(value)), stream), longer)
     return (
         F.when(kind == "email", mail)
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), *octet))
+        .when(kind == "ip", F.concat(F.concat_ws(".", F.lit("10"), *octet), longer))
         .when(kind == "card", _with_check_digit(rest))
         .when(kind == "name", _person(value, stream, attempt))
         .otherwise(rest)

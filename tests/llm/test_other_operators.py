@@ -95,6 +95,19 @@ def test_surrogates(spark):
     assert surrogates.replace(docs.limit(0), settings).count() == 0
 
 
+def test_surrogates_end_where_a_form_has_few_values(spark):
+    rows = [(1, "password=******** token = ---------- end"), (2, "_@a.com and _@b.com"), (3, "password=秘密秘密秘密 王@c.com 李@c.com")]
+    rows += [(100 + k, f"hr@firm{k}.com") for k in range(1000)]
+    docs = documents(spark, [(*r, None, None, 0) for r in rows])
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace(docs, surrogates.SurrogateSettings("k")).collect()}
+    assert got[1] == rows[0][1]
+    left, right = got[2].split(" and ")
+    assert left != right and all(re.fullmatch(r"_@([a-z]+\.)?example\.com", x) for x in (left, right))
+    assert "秘密秘密秘密" not in got[3] and "王@" not in got[3] and re.match(r"password=\w{6} \w@\S+ \w@", got[3])
+    mails = {got[100 + k] for k in range(1000)}
+    assert len(mails) == 1000 and all(re.fullmatch(r"[a-z]{2}@([a-z]+\.)?example\.com", m) for m in mails)
+
+
 def test_toxic_scores(spark):
     good = "the quick brown fox jumps over lazy dogs near river banks every sunny morning"
     rows = [(k, f"{good} {k}", None, None, 0) for k in range(60)]
