@@ -52,6 +52,8 @@ class MixtureModel:
 def _grams(texts: list[str], settings: MixtureSettings) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all letter n-grams of each text, and offsets per text."""
     plain = [f" {NOT_LETTERS.sub(' ', t.lower()).strip()} ".encode() for t in texts]
+    # so that each text with a letter has an n-gram
+    plain = [p.ljust(settings.order) if p.strip() else p for p in plain]
     buffer = np.frombuffer(b"".join(plain), dtype=np.uint8).astype(U64)
     ends = np.cumsum([len(p) for p in plain])
     code = np.zeros(max(0, len(buffer) - settings.order + 1), dtype=U64)

@@ -127,6 +127,15 @@ def test_language_mixture(spark):
     assert lang_mixture.detect(documents(spark, []), model).count() == 0
 
 
+def test_language_of_one_letter(spark):
+    rows = [(k, "A." if k % 2 else "les que nous", "en" if k % 2 else "fr", "s", 0) for k in range(8)] + [(9, "A.", None, None, 0), (10, "1.", None, None, 0)]
+    docs = documents(spark, rows)
+    model = lang_mixture.fit(docs, F.col("doc_id") < 8)
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_mixture.detect(docs, model).collect()}
+    assert got[9] == "en" and got[10] == "und"
+    assert 9 in {r["doc_id"] for r in lang_mixture.keep_determined(docs, model).collect()}
+
+
 def test_bound_of_the_mixture_never_skips_a_better_one():
     import numpy as np
 
