@@ -108,6 +108,15 @@ def test_surrogates_end_where_a_form_has_few_values(spark):
     assert len(mails) == 1000 and all(re.fullmatch(r"[a-z]{2}@([a-z]+\.)?example\.com", m) for m in mails)
 
 
+def test_long_secrets_leave_no_tail(spark):
+    jwt, key = "eyJ" + "aB3.x_" * 250, "sk-proj-" + "Ab_c-D" * 20
+    rows = [(1, f"token = {jwt} end"), (2, f"password={jwt} end"), (3, f"key {key} end")]
+    docs = documents(spark, [(*r, None, None, 0) for r in rows])
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace(docs, surrogates.SurrogateSettings("k")).collect()}
+    assert all(got[k].endswith(" end") and "aB3" not in got[k][30:] and "Ab_c" not in got[k] for k in got)
+    assert all(len(got[k]) == len(t) for k, t in rows)
+
+
 def test_toxic_scores(spark):
     good = "the quick brown fox jumps over lazy dogs near river banks every sunny morning"
     rows = [(k, f"{good} {k}", None, None, 0) for k in range(60)]
