@@ -14,10 +14,13 @@ from tallyward.llm import (
     leak_index,
     minhash_forest,
     mixture_weights,
+    quality_net,
     repeated_lines,
     substring_dedup,
     surrogates,
     toxic_spans,
+    whitening,
+    word_runs,
 )
 
 
@@ -102,6 +105,54 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where one document in ten repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    split = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    placed = split.withColumn("a", F.when(n > 0, (g % F.greatest(n, F.lit(1))).cast("int"))).withColumn(
+        "p", (F.floor((n - F.col("a")) / (g % 8 + 3)) + 1).cast("int")
+    )
+    repeated = F.transform(
+        "words",
+        lambda w, i: F.when(i < F.col("a"), w).otherwise(
+            F.get("words", F.col("a") + (i - F.col("a")) % F.greatest(F.col("p"), F.lit(1)))
+        ),
+    )
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.concat_ws(" ", repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_word_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = word_runs.with_longest(word_runs.find_runs(made_periodic(table(spark, sf, "documents"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_quality_net(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    part = lang_mixture.fold("doc_id", 3)
+    model = quality_net.fit(docs, docs.where(part != 1), table(spark, sf, "labels"))
+    return quality_net.score(docs, model).select(
+        "doc_id",
+        F.coalesce(part == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_index": op1_hamming_index,
     "op2_minhash_forest": op2_minhash_forest,
@@ -113,6 +164,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_blocks": op8_html_blocks,
     "op9_toxic_spans": op9_toxic_spans,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_word_runs": op12_word_runs,
+    "op13_quality_net": op13_quality_net,
 }
 
 def _mix_sql(settings: mixture_weights.MixSettings) -> str:
