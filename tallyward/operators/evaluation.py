@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions.columns import finite_or_null, milli_units, ratio
-from tallyward.operators.ranking import running_totals, value_edges, with_range
+from tallyward.operators.ranking import running_totals, sorted_ranges
 from tallyward.session import materialize, ship, small_side
 from tallyward.settings import ACTIONS, APPROVE, BLOCK, REVIEW, CostModel
 
@@ -241,13 +241,15 @@ def bootstrap_pr_auc(
             F.lit(None).cast("double").alias("pr_auc_ci_low"),
             F.lit(None).cast("double").alias("pr_auc_ci_high"),
         )
-    steps = materialize(
-        df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
-            count_where(F.col("is_fraud")).alias("pos"), F.count(F.lit(1)).alias("n")
-        )
+    steps = df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
+        count_where(F.col("is_fraud")).alias("pos"), F.count(F.lit(1)).alias("n")
+    )
+    placed = sorted_ranges(steps, *by, F.col("_score").desc())
+    piece = F.floor(F.col("_row") / SCORES_PER_GROUP)
+    # rises as scores fall, and holds a bounded number of them
+    ranged = materialize(
+        placed.withColumn("_range", F.shiftleft(F.col("_part").cast("bigint"), 32) + piece).drop("_part", "_row")
     )
-    ranges = max(8, steps.count() // SCORES_PER_GROUP + 1)
-    ranged = with_range(steps, "_score", value_edges(steps, "_score", ranges), "_range")
     key = [*by, "_range"]
     key_types = [f"`{c}` {dict(ranged.dtypes)[c]}" for c in key]
 
@@ -268,7 +270,7 @@ def bootstrap_pr_auc(
     # One row per (group, resample, range): its size comes from settings, not from the table.
     above = (
         Window.partitionBy(*by, "_b")
-        .orderBy(F.col("_range").desc())
+        .orderBy("_range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     base = totals.select(

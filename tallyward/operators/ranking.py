@@ -1,48 +1,76 @@
 """Global order without a global sort task: ranks, running totals and exact quantiles.
 
-A running total over a whole table needs one order but not one task. Rows are first collapsed to one
-per distinct value (map-side), then cut into contiguous value ranges. The edges come from a sketch
-and only balance the work: any edges give the same exact answer. Totals per range are added up on a
-table with one row per range.
+A running total over a whole table needs one order but not one task. Rows are range-partitioned by the full order,
+ties included, sorted inside each partition and written once with their place. What a partition has to add is then a
+prefix over one row per partition. Range bounds are Spark's own sample and only balance the work: any bounds give the
+same exact answer, and a value that fills the table is cut along the columns that break its ties.
+
+The number of partitions is ``spark.sql.shuffle.partitions``; adaptive execution merges small ones.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyward.session import materialize, small_side
-
-ROWS_PER_RANGE = 1_000_000
-LEAST_RANGES = 16
+from tallyward.session import materialize, ship, small_side
 
+ship(__name__)
 
-def value_edges(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
-    """Rough quantiles of ``column`` from a mergeable sketch: about one per ``ROWS_PER_RANGE`` rows.
+#: Low bits of Spark's monotonic id: the place of a row inside its partition.
+PLACE_BITS = 33
 
-    The sketch is ten times finer than the ranges, so a range holds at most a tenth more than its share.
-    """
-    if ranges is None:
-        ranges = max(LEAST_RANGES, -(-df.count() // ROWS_PER_RANGE))
-    levels = [i / ranges for i in range(1, ranges)]
-    row = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), F.lit(levels), max(2_000, 10 * ranges))
-    ).first()[0]
-    return sorted(x for x in (row or []) if x is not None and math.isfinite(x))
 
+def sorted_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` cut into contiguous ranges of ``order`` and sorted inside each, with ``_part`` and ``_row``.
 
-def with_range(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
-    """Number the value range of each row; equal values share a range."""
-    inner = sorted(set(edges))
-    if not inner:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [-math.inf, *inner, math.inf]
-    keyed = df.withColumn("_v", F.col(column).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_v", outputCol=out).transform(keyed).drop("_v")
+    Both are those of this run of the plan: write the result before it is read twice.
+    """
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    return ranged.withColumns(
+        {
+            "_part": F.shiftright("_place", PLACE_BITS).cast("int"),
+            "_row": F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)),
+        }
+    ).drop("_place")
+
+
+def _with_running(df: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Add ``before_*``: whole-number totals over the rows before, inside each partition as it is sorted."""
+    names = [f"before_{m}" for m in measures]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = [0] * len(measures)
+        for batch in batches:
+            columns = list(batch.columns)
+            for k, m in enumerate(measures):
+                value = batch.column(m)
+                through = pc.cumulative_sum(value, start=pa.scalar(carried[k], pa.int64()))
+                columns.append(pc.subtract(through, value))
+                if len(through):
+                    carried[k] = through[-1].as_py()
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(work, schema)
+
+
+def _offsets(written: DataFrame, size: Column) -> DataFrame:
+    """(``_part``, ``_base``, ``_total``): what lies before each partition, and in all of them. One row each."""
+    rows = written.groupBy("_part").agg(size.alias("_n"))
+    everything = Window.partitionBy(F.lit(0))
+    earlier = everything.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(
+        "_part",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
+        F.sum("_n").over(everything).alias("_total"),
+    )
 
 
 def running_totals(
@@ -52,109 +80,55 @@ def running_totals(
     *,
     keys: Sequence[str] = (),
     descending: bool = False,
-    edges: Sequence[float] | None = None,
 ) -> DataFrame:
-    """One row per (keys, value) with its measures and ``before_*``: totals over smaller values.
+    """One row per (keys, value) with its measures (whole numbers) and ``before_*``: totals over smaller values.
 
     ``descending`` totals over larger values instead.
     """
-    # Read three times below, and far smaller than its input: written once.
-    one = materialize(df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures]))
-    edges = value_edges(one, value) if edges is None else edges
-    ranged = with_range(one, value, edges, "_range")
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    range_order = F.col("_range").desc() if descending else F.col("_range").asc()
-    inside = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    one = df.groupBy(*keys, value).agg(*[F.sum(m).cast("bigint").alias(m) for m in measures])
+    order = [*[F.col(k).asc() for k in keys], F.col(value).desc() if descending else F.col(value).asc()]
+    placed = materialize(_with_running(sorted_ranges(one, *order), measures))
+    # One row per partition and key that it holds: where the key begins there, and what it had before.
+    pieces = placed.groupBy(*keys, "_part").agg(
+        *[F.sum(m).alias(m) for m in measures],
+        *[F.min_by(f"before_{m}", "_row").alias(f"_start_{m}") for m in measures],
     )
-    # One row per (keys, range): a millionth of the rows.
-    across = (
-        (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-        .orderBy(range_order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (
+        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    base = (
-        ranged.groupBy(*keys, "_range")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .select(
-            *keys,
-            "_range",
-            *[F.coalesce(F.sum(m).over(across), F.lit(0)).alias(f"_base_{m}") for m in measures],
-        )
+    base = pieces.select(
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+        F.col("_part").alias("_piece"),
+        *[
+            (F.coalesce(F.sum(m).over(earlier), F.lit(0)) - F.col(f"_start_{m}")).alias(f"_base_{m}")
+            for m in measures
+        ],
     )
-    return (
-        ranged.select(
-            "*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_in_{m}") for m in measures]
-        )
-        .join(base, [*keys, "_range"])
-        .select(
-            *keys,
-            value,
-            *measures,
-            *[(F.col(f"_base_{m}") + F.col(f"_in_{m}")).alias(f"before_{m}") for m in measures],
-        )
+    if not keys:
+        base = F.broadcast(base)  # a row per partition
+    same = F.col("_part") == F.col("_piece")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return placed.join(base, same).select(
+        *keys,
+        value,
+        *measures,
+        *[(F.col(f"before_{m}") + F.col(f"_base_{m}")).alias(f"before_{m}") for m in measures],
     )
 
 
-def _heavy_values(edges: Sequence[float]) -> list[float]:
-    """Values that appear twice among the edges hold more than a whole range by themselves."""
-    return sorted({a for a, b in zip(edges, edges[1:], strict=False) if a == b})
-
-
-def _tie_position(df: DataFrame, tie: str) -> Column:
-    """A number that never falls as ``tie`` rises: the first six bytes of a text."""
-    if dict(df.dtypes)[tie] != "string":
-        return F.col(tie).cast("double")
-    head = F.substring(F.rpad(F.substring(F.hex(F.col(tie)), 1, 12), 12, "0"), 1, 12)
-    return F.conv(head, 16, 10).cast("double")
-
-
 def row_numbers(
     df: DataFrame, first: str, then: str, tie: str, out: str = "rn", total: str | None = None
 ) -> DataFrame:
     """Number all rows from 1 by ``(first, then, tie)``, without one task holding them all.
 
-    A value of ``first`` shared by a large part of the rows gets a range to itself, which is cut
-    again along ``then``, or along ``tie`` where ``then`` is the same column. The input is written once, because edges, range sizes and rows each read
-    it: pass only the columns you need.
+    Spark reads the input twice, to sample it and to cut it; the result is written once.
     """
-    df = materialize(df)
-    edges = value_edges(df, first)
-    heavy = _heavy_values(edges)
-    cuts = sorted({*edges, *[math.nextafter(v, math.inf) for v in heavy]})
-    ranged = with_range(df, first, cuts, "_r1")
-    if heavy:
-        crowded = F.col(first).cast("double").isin(heavy)
-        along = _tie_position(df, tie) if then == first else F.col(then).cast("double")
-        ranged = ranged.withColumn("_along", along)
-        sub = value_edges(ranged.filter(crowded), "_along")
-        ranged = with_range(ranged, "_along", sub, "_r2").drop("_along").withColumn(
-            "_r2", F.when(crowded, F.col("_r2")).otherwise(F.lit(0.0))
-        )
-    else:
-        ranged = ranged.withColumn("_r2", F.lit(0.0))
-    across = (
-        Window.partitionBy(F.lit(0))
-        .orderBy("_r1", "_r2")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    base = (
-        ranged.groupBy("_r1", "_r2")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_r1",
-            "_r2",
-            F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_base"),
-            F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"),
-        )
-    )
-    inside = Window.partitionBy("_r1", "_r2").orderBy(first, then, tie)
-    numbered = ranged.withColumn("_rn", F.row_number().over(inside)).join(base, ["_r1", "_r2"])
+    placed = materialize(sorted_ranges(df, *dict.fromkeys((first, then, tie))))
+    base = F.broadcast(_offsets(placed, F.max("_row") + 1))  # a row per partition
     extra = [F.col("_total").alias(total)] if total else []
-    return numbered.select(
-        *df.columns, (F.col("_base") + F.col("_rn")).cast("bigint").alias(out), *extra
+    return placed.join(base, "_part").select(
+        *df.columns, (F.col("_base") + F.col("_row") + 1).cast("bigint").alias(out), *extra
     )
 
 

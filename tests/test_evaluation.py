@@ -3,13 +3,14 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallyward.operators import calibration as cal
 from tallyward.operators import evaluation as ev
 from tallyward.operators import ranking
-from tallyward.operators.ranking import exact_quantiles, row_numbers, value_edges
+from tallyward.operators.ranking import exact_quantiles, row_numbers, running_totals
 from tallyward.operators.rules import RuleThresholds, apply_rules, fit_thresholds
 from tallyward.settings import RULE_NAMES, CostModel, RuleLevels
 
@@ -87,8 +88,6 @@ def test_row_numbers_when_one_score_holds_most_rows(spark):
     rng = random.Random(1)
     rows = [(f"t{i:04d}", rng.randint(0, 50), 0.25 if i % 3 else rng.random()) for i in range(600)]
     df = spark.createDataFrame(rows, "txn_id string, event_ms long, score double")
-    edges = value_edges(df, "score")
-    assert edges.count(0.25) > 5
     got = [r["txn_id"] for r in row_numbers(df, "score", "event_ms", "txn_id").orderBy("rn").collect()]
     assert got == [t for t, _, _ in sorted(rows, key=lambda r: (r[2], r[1], r[0]))]
 
@@ -168,18 +167,129 @@ def test_calibrators(spark):
 
 
 def test_isotonic_interpolates_and_clips(spark):
-    curve = cal.Isotonic((0.2, 0.6), (0.1, 0.5))
-    out = curve.apply(scores(spark, [0] * 4, [0.0, 0.4, 0.6, 1.0]), "score", "p")
-    assert [r["p"] for r in out.orderBy("score").collect()] == pytest.approx([0.1, 0.3, 0.5, 0.5])
-
-
-def test_ranges_follow_the_rows_and_ties_are_cut_along_the_id(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 5)
+    curve = cal.isotonic_curve(spark.createDataFrame([(0.2, 0.1), (0.6, 0.5)], "x double, y double"))
+    df = scores(spark, [0] * 6, [0.0, 0.4, 0.6, 1.0, float("nan"), 0.4]).union(
+        spark.createDataFrame([("none", 9, False, None)], scores(spark, [0], [0.1]).schema)
+    )
+    out = {r["txn_id"]: r["p"] for r in curve.apply(df, "score", "p").collect()}
+    by_score = {r["txn_id"]: r["score"] for r in df.collect()}
+    want = {0.0: 0.1, 0.4: 0.3, 0.6: 0.5, 1.0: 0.5}
+    assert len(out) == 7
+    for txn, p in out.items():
+        assert p == (pytest.approx(want[by_score[txn]]) if by_score[txn] in want else None)
+
+
+def pooled_by_hand(x, y):
+    """Isotonic values per distinct x by the min-max formula of running means."""
+    xs = np.unique(x)
+    w = np.array([(x == v).sum() for v in xs], dtype=float)
+    s = np.array([y[x == v].sum() for v in xs], dtype=float)
+    cw, cs = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(s)])
+    out = np.empty(len(xs))
+    for i in range(len(xs)):
+        means = (cs[i + 1 :][None, :] - cs[: i + 1][:, None]) / (cw[i + 1 :][None, :] - cw[: i + 1][:, None])
+        out[i] = means.min(axis=1).max()
+    return dict(zip(xs.tolist(), out.tolist(), strict=True))
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables in as many ranges as the session says: adaptive merging off."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind", ["noise", "rising", "falling", "flat", "ties"])
+def test_isotonic_equals_the_min_max_formula(spark, many_ranges, kind, monkeypatch):
+    monkeypatch.setattr(cal, "FAN_IN", 3)  # several levels of merging over 40 ranges
+    rng = np.random.default_rng(9)
+    x = rng.permutation(400) / 400 * 1e-7
+    chance = {"noise": x * 1e7, "rising": (x > 5e-8) * 1.0, "falling": 1 - x * 1e7, "flat": 0 * x + 0.3, "ties": x * 1e7}[kind]
+    if kind == "ties":
+        x = np.round(x, 9)
+    y = rng.random(400) < chance
+    df = scores(spark, y, x.tolist())
+    assert df.select("score").distinct().count() == len(set(x.tolist()))
+    got = cal.fit_isotonic(df, "score").apply(df, "score", "p").collect()
+    want = pooled_by_hand(x, y)
+    assert len(got) == 400
+    assert {r["score"]: r["p"] for r in got} == pytest.approx(want, abs=1e-12)
+
+
+def test_isotonic_of_many_scores_below_a_millionth(spark, many_ranges):
+    rng = np.random.default_rng(10)
+    n = 100_000
+    x = (np.arange(n) + 1) * 1e-11  # all below 1e-6
+    y = rng.random(n) < np.linspace(0, 0.6, n) ** 2
+    rows = pd.DataFrame({"txn_id": np.arange(n).astype(str), "event_ms": np.arange(n), "is_fraud": y, "score": x})
+    df = spark.createDataFrame(rows).repartition(5)
+    fitted = cal.fit_isotonic(df, "score")
+    out = fitted.apply(df, "score", "p").toPandas().sort_values("score")
+    stack = []  # one pass of pooling over all rows
+    for v in y:
+        a, b = int(v), 1
+        while stack and stack[-1][0] * b >= a * stack[-1][1]:
+            a, b = a + stack[-1][0], b + stack.pop()[1]
+        stack.append((a, b))
+    assert np.abs(out["p"].to_numpy() - np.concatenate([[a / b] * b for a, b in stack])).max() < 1e-12
+    assert fitted.knots(spark).count() > 50
+    plan = fitted.apply(df, "score", "p")._jdf.queryExecution().toString()
+    assert len(plan) < 100_000  # no list of knots in the plan
+    tiny = cal.fit_isotonic(scores(spark, [0] * 5 + [1] * 4, [k * 1e-7 for k in range(1, 10)]), "score")
+    got = tiny.apply(scores(spark, [0] * 9, [k * 1e-7 for k in range(1, 10)]), "score", "p").orderBy("score").collect()
+    assert [r["p"] for r in got] == [0.0] * 5 + [1.0] * 4
+
+
+def test_platt_solves_its_score_equations(spark):
+    rng = np.random.default_rng(12)
+    raw = np.round(rng.random(3_000), 2).clip(0.01, 0.99)
+    y = rng.random(3_000) < raw**2
+    fitted = cal.fit_platt(scores(spark, y, raw), "score")
+    z = np.log(raw / (1 - raw))
+    gap = y - 1 / (1 + np.exp(-(fitted.slope * z + fitted.intercept)))
+    assert abs(gap.sum()) < 1e-8 and abs((gap * z).sum()) < 1e-8
+    apart = cal.fit_platt(scores(spark, [0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9]), "score")
+    assert apart.slope > 5 and math.isfinite(apart.slope)
+    one = cal.fit_platt(scores(spark, [1, 1], [0.3, 0.3]), "score")
+    assert math.isfinite(one.slope) and math.isfinite(one.intercept)
+
+
+def test_running_totals_in_many_ranges(spark, many_ranges):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), 0.5 if i % 3 else rng.randint(0, 90) / 10, rng.randint(0, 4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, v double, m long").repartition(6)
+    for descending in (False, True):
+        for keys in ((), ("k",)):
+            got = {
+                (r["k"] if keys else None, r["v"]): (r["m"], r["before_m"])
+                for r in running_totals(df, "v", ["m"], keys=keys, descending=descending).collect()
+            }
+            seen = {(k if keys else None, v) for k, v, _ in rows}
+            assert set(got) == seen
+            for k, v in seen:
+                own = [r for r in rows if not keys or r[0] == k]
+                before = sum(m for _, x, m in own if (x > v if descending else x < v))
+                assert got[(k, v)] == (sum(m for _, x, m in own if x == v), before)
+
+
+def test_row_numbers_in_many_ranges(spark, many_ranges):
     rows = [(f"t{(i * 7919) % 1000:04d}", 7 if i % 4 else i) for i in range(1000)]  # one heavy time
     df = spark.createDataFrame(rows, "txn_id string, ms long")
-    assert len(value_edges(df, "ms")) > 150
-    got = [r["txn_id"] for r in row_numbers(df, "ms", "ms", "txn_id").orderBy("rn").collect()]
-    assert got == [t for t, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    numbered = row_numbers(df, "ms", "ms", "txn_id", total="all").collect()
+    assert [r["txn_id"] for r in sorted(numbered, key=lambda r: r["rn"])] == [
+        t for t, _ in sorted(rows, key=lambda r: (r[1], r[0]))
+    ]
+    assert sorted(r["rn"] for r in numbered) == list(range(1, 1001)) and {r["all"] for r in numbered} == {1000}
+    parts = ranking.sorted_ranges(df, "ms", "txn_id").groupBy("_part").count().collect()
+    assert len(parts) > 20 and max(r["count"] for r in parts) < 200  # the heavy time is cut along the id
+    assert row_numbers(df.limit(0), "ms", "ms", "txn_id").count() == 0
+
+
+def test_quantiles_in_many_ranges(spark, many_ranges):
     values = [float(i % 97) for i in range(800)]
     found = exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0.1, 0.5]).collect()
     assert {r["level"]: r["value"] for r in found} == {q: float(np.quantile(values, q)) for q in (0.1, 0.5)}

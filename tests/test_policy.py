@@ -1,9 +1,11 @@
+import itertools
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyward.operators import budget
 from tallyward.operators import policy as pol
 from tallyward.settings import (
     CostModel,
@@ -67,19 +69,79 @@ def test_budget_is_first_come_per_day(spark):
         pol.within_daily_budget(df, "wants", -1)
 
 
-@pytest.mark.parametrize("budget", [1, 7, 40, 200])
-def test_budget_against_brute_force(spark, budget):
-    rng = random.Random(budget)
+@pytest.mark.parametrize("reviews", [1, 7, 40, 200])
+def test_budget_against_brute_force(spark, reviews):
+    rng = random.Random(reviews)
     data = [(f"t{rng.random()}", rng.choice([0, 5, 899_999, 900_000, 40_000_000]) + DAY * rng.randint(0, 2)) for _ in range(300)]
     df = spark.createDataFrame([(t, ms, ms // DAY, rng.random() < 0.7) for t, ms in data], "txn_id string, event_ms long, day long, wants boolean")
     seen, want = {}, {}
     for r in sorted(df.collect(), key=lambda r: (r["event_ms"], r["txn_id"])):
         seen[r["day"]] = seen.get(r["day"], 0) + r["wants"]
-        want[r["txn_id"]] = r["wants"] and seen[r["day"]] <= budget
-    got = {r["txn_id"]: r["granted"] for r in pol.within_daily_budget(df, "wants", budget).collect()}
+        want[r["txn_id"]] = r["wants"] and seen[r["day"]] <= reviews
+    got = {r["txn_id"]: r["granted"] for r in pol.within_daily_budget(df, "wants", reviews).collect()}
     assert got == want
 
 
+def granted_by_hand(rows, arms, used=None):
+    """Per (variant, arm): number and gain of the rows that fit; per day: the ids that fit."""
+    totals, ids = {}, {}
+    for a in arms:
+        key = (a.variant, a.arm)
+        totals[key] = [0, 0.0]
+        left = {}
+        for variant, day, ms, txn, level, gain in sorted(rows, key=lambda r: (r[2], r[3])):
+            if variant != a.variant or not a.low <= level < a.high:
+                continue
+            room = left.setdefault(day, a.budget - (used or {}).get(day, 0))
+            left[day] = room - 1
+            if room > 0:
+                totals[key] = [totals[key][0] + 1, totals[key][1] + gain]
+                ids.setdefault(key, set()).add(txn)
+    return totals, ids
+
+
+@pytest.mark.parametrize("crowd", ["spread", "minute", "millisecond", "prefixes"])
+def test_radix_selection_equals_ranks(spark, monkeypatch, crowd):
+    monkeypatch.setattr(budget, "CELL_ROWS", 3)
+    rng = random.Random(crowd)
+    data = []
+    for i in range(700):
+        day = rng.randint(0, 2)
+        ms = {"spread": rng.randint(0, 86_399_999), "minute": 7_200_000 + rng.randint(0, 59_999)}.get(crowd, 5_000)
+        txn = f"{'shared-prefix-' if i % 3 else 'z'}{'' if crowd == 'prefixes' and i % 7 else 'x'}{i * 7919 % 997:03d}"
+        data.append((rng.randint(0, 1), day, day * 86_400_000 + ms, txn, rng.randint(0, 4), rng.random()))
+    df = spark.createDataFrame(data, "variant int, day long, event_ms long, txn_id string, level int, gain double")
+    sizes = (0, 1, 5, 40, 1_200, 5_000)
+    arms = [budget.Arm(n, low, 5, b, v) for v in (0, 1) for n, (low, b) in enumerate(itertools.product((0, 2, 4), sizes))]
+    arms.append(budget.Arm(99, 1, 3, 17, 1))
+    for used in (None, {0: 3, 1: 100}):
+        table = spark.createDataFrame(list(used.items()), "day long, used long") if used else None
+        totals, ids = granted_by_hand(data, arms, used)
+        if not used:
+            got = {(r["variant"], r["arm"]): (r["granted"], r["gain"]) for r in budget.budget_gain(df, arms, 5).collect()}
+            assert set(got) == {k for k, v in totals.items() if v[0]}
+            for k, (n, gain) in got.items():
+                assert n == totals[k][0] and gain == pytest.approx(totals[k][1])
+        cuts = {(r["variant"], r["arm"], r["day"]): r for r in budget.budget_cuts(df, arms, 5, table).collect()}
+        for a in arms:
+            fit = set()
+            for variant, day, ms, txn, level, _ in data:
+                if variant == a.variant and a.low <= level < a.high:
+                    cut = cuts.get((variant, a.arm, day))
+                    if cut is None or ms < cut["cut_ms"] or ms == cut["cut_ms"] and (cut["cut_txn"] is None or txn <= cut["cut_txn"]):
+                        fit.add(txn)
+            assert fit == ids.get((a.variant, a.arm), set()), a
+    assert budget.budget_gain(df.limit(0), arms, 5).count() == 0
+
+
+def test_repeated_rows_at_the_cut_take_what_is_left(spark, monkeypatch):
+    monkeypatch.setattr(budget, "CELL_ROWS", 3)
+    same = [(0, 10, "a", 0, 1.0)] * 40 + [(0, 10, "b", 0, 5.0)]
+    df = spark.createDataFrame(same, "day long, event_ms long, txn_id string, level int, gain double")
+    got = {r["arm"]: (r["granted"], r["gain"]) for r in budget.budget_gain(df, [budget.Arm(0, 0, 1, 25), budget.Arm(1, 0, 1, 41)], 1).collect()}
+    assert got == {0: (25, 25.0), 1: (41, 45.0)}
+
+
 def test_tuned_threshold_waits_for_the_large_payment(spark):
     df = rows(spark, [(0.3, 200, 0, None)] * 5 + [(0.3, 5_000, 0, None)])
     greedy = pol.decide_by_expected_loss(df, COSTS, threshold=0, reviews_per_day=1)
