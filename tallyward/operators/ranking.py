@@ -118,17 +118,26 @@ def running_totals(
 
 
 def row_numbers(
-    df: DataFrame, first: str, then: str, tie: str, out: str = "rn", total: str | None = None
+    df: DataFrame,
+    first: str,
+    then: str,
+    tie: str,
+    out: str = "rn",
+    total: str | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Number all rows from 1 by ``(first, then, tie)``, without one task holding them all.
 
-    Spark reads the input twice, to sample it and to cut it; the result is written once.
+    The input is written once, because Spark reads it to sample it and again to cut it: pass only the columns you
+    need, and name in ``keep`` those that the result needs.
     """
-    placed = materialize(sorted_ranges(df, *dict.fromkeys((first, then, tie))))
+    kept = list(keep or df.columns)
+    cut = sorted_ranges(materialize(df), *dict.fromkeys((first, then, tie)))
+    placed = materialize(cut.select(*kept, "_part", "_row"))
     base = F.broadcast(_offsets(placed, F.max("_row") + 1))  # a row per partition
     extra = [F.col("_total").alias(total)] if total else []
     return placed.join(base, "_part").select(
-        *df.columns, (F.col("_base") + F.col("_row") + 1).cast("bigint").alias(out), *extra
+        *kept, (F.col("_base") + F.col("_row") + 1).cast("bigint").alias(out), *extra
     )
 
 
@@ -150,59 +159,40 @@ def exact_quantiles(
         raise ValueError(f"unknown quantile method {method!r}")
     counted = df.filter(F.col(value).isNotNull()).withColumn("_n", F.lit(1).cast("bigint"))
     ordered = running_totals(counted, value, ["_n"], keys=keys)
-    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-
-    def position(q: float) -> Column:
-        return F.lit(float(q)) * (F.col("_size") - 1)
+    size = F.col("_size")
 
-    def ranks(q: float) -> tuple[Column, Column]:
-        at = position(q)
-        if method == "linear":
-            return F.floor(at), F.ceil(at)
+    def rank_pair(q: Column) -> Column:
+        at = q * (size - 1)
         whole = F.ceil(at) if method == "higher" else F.floor(at + 0.5)
-        return whole, whole
+        low, high = (F.floor(at), F.ceil(at)) if method == "linear" else (whole, whole)
+        share = at - F.floor(at) if method == "linear" else F.lit(0.0)
+        return F.struct(
+            q.alias("level"), low.cast("bigint").alias("low"), high.cast("bigint").alias("high"), share.alias("share")
+        )
 
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(float(q)).alias("level"),
-                ranks(q)[0].cast("bigint").alias("low"),
-                ranks(q)[1].cast("bigint").alias("high"),
-                (position(q) - F.floor(position(q))).alias("share"),
-            )
-            for q in levels
-        ]
+    # Ranks and rows meet by blocks of ranks, a few per level and key: a row covers one block, or as many as its value
+    # fills, and only blocks that hold a wanted rank are looked at.
+    block = F.greatest(F.lit(1), F.floor(size / (4 * len(levels)))).cast("bigint")
+    sizes = small_side(ordered.groupBy(*keys).agg(F.sum("_n").alias("_size")).withColumn("_k", F.lit(1)))
+    wanted = (
+        sizes.select(*keys, "_size", F.explode(F.transform(F.lit([float(q) for q in levels]), rank_pair)).alias("_t"))
+        .select(*keys, "_size", "_t.*", F.explode(F.array_distinct(F.array("_t.low", "_t.high"))).alias("_rank"))
+        .select(*keys, "level", "low", "high", "share", "_rank", F.floor(F.col("_rank") / block).alias("_block"))
     )
-    targets = sizes.select(*keys, wanted.alias("_wanted"), F.lit(1).alias("_k"))
-    targets = small_side(targets)  # one row per key group
-    join_keys = [*keys, "_k"]
     first = F.col("before__n")
     last = F.col("before__n") + F.col("_n") - 1
-
-    def holds(rank: Column) -> Column:
-        return (rank >= first) & (rank <= last)
-
     hits = (
         ordered.withColumn("_k", F.lit(1))
-        .join(targets, join_keys)
-        .withColumn(
-            "_wanted", F.filter("_wanted", lambda t: holds(t["low"]) | holds(t["high"]))
-        )
-        .filter(F.size("_wanted") > 0)
-        .withColumn("_t", F.explode("_wanted"))
+        .join(sizes, [*keys, "_k"])
+        .withColumn("_block", F.explode(F.sequence(F.floor(first / block), F.floor(last / block))))
+        .join(small_side(wanted), [*keys, "_block"])
+        .where(F.col("_rank").between(first, last))
     )
-    low = F.max(F.when(holds(F.col("_t.low")), F.col(value).cast("double")))
-    high = F.max(F.when(holds(F.col("_t.high")), F.col(value).cast("double")))
+    held = F.col(value).cast("double")
+    low = F.max(F.when(F.col("_rank") == F.col("low"), held))
+    high = F.max(F.when(F.col("_rank") == F.col("high"), held))
     return (
-        hits.groupBy(*keys, F.col("_t.level").alias("level"), F.col("_t.share").alias("_share"))
+        hits.groupBy(*keys, "level", "share")
         .agg(low.alias("_low"), high.alias("_high"))
-        .select(
-            *keys,
-            "level",
-            (
-                F.col("_low")
-                + (F.col("_high") - F.col("_low"))
-                * (F.col("_share") if method == "linear" else F.lit(0.0))
-            ).alias("value"),
-        )
+        .select(*keys, "level", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("share")).alias("value"))
     )
