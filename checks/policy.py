@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.common import LI_SQL, PROBABILITY_SQL, SPLIT_SQL, Query, li, rounded, rounded_sql
-from checks.reports import REPORT_DIGITS, REPORT_DOUBLES, report_sql, scored
+from checks.reports import REPORT_DIGITS, REPORT_DOUBLES, RULE_FLAGS_SQL, report_sql, scored
 from tallyward.operators import policy
 from tallyward.operators.rules import apply_rules, fit_thresholds
 from tallyward.plans.rules_baseline import rule_frame
@@ -367,6 +367,113 @@ def tuned_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tune_under_variants(_tuning_rows(spark, sf), test, COSTS, settings), 3)
 
 
+# The cheapest setting in SQL: lowest loss, and of those that tie with it the largest threshold.
+_TIES = "expected_loss <= lowest + 1e-9 * greatest(1.0, abs(lowest))"
+_OUTCOME_DOUBLES = [*REPORT_DOUBLES, "reviews_per_day_mean", "expected_cost"]
+
+
+def outcome_sql(source: str, by: str, **costs: str) -> str:
+    """``policy_outcome`` over decided rows, grouped by one column."""
+    return f"""SELECT * FROM ({report_sql(source, by, **costs)})
+    JOIN (SELECT {by}, CAST(sum(r) AS DOUBLE) / count(*) AS reviews_per_day_mean, max(r) AS reviews_per_day_max
+      FROM (SELECT {by}, day, count(*) FILTER (action = 'review') AS r FROM {source} GROUP BY ALL) GROUP BY {by}) USING ({by})
+    JOIN (SELECT {by}, sum(expected_cost) AS expected_cost, count(*) FILTER (capped) AS capped,
+      count(*) FILTER (forced IS NOT NULL) AS overridden FROM {source} GROUP BY {by}) USING ({by})"""
+
+
+TUNED_SQL = rounded_sql(
+    f"""WITH {ROWS_SQL},
+    varied AS (
+      SELECT variant, margin, rc, catch, txn_id, ms, day, split, forced, is_fraud, mu,
+        probability * amount AS cost_approve,
+        rc + probability * (1.0 - catch) * amount AS cost_review,
+        (1.0 - probability) * (margin * amount + 2.0) AS cost_block
+      FROM costed, (VALUES {_VARIANT_VALUES}) v(variant, margin, rc, catch)),
+    best AS (SELECT *, least(cost_approve, cost_block) - cost_review AS review_benefit,
+      CASE WHEN cost_block < cost_approve THEN 'block' ELSE 'approve' END AS fallback FROM varied),
+    grid AS (SELECT DISTINCT variant, threshold FROM (
+      SELECT variant, 0.0::DOUBLE AS threshold FROM best UNION ALL
+      SELECT variant, unnest(quantile_cont(review_benefit, [{_LEVEL_LIST}])) FROM best
+      WHERE split = 'calibration' AND forced IS NULL AND review_benefit > 0 GROUP BY variant)),
+    tried AS (SELECT b.*, threshold, forced IS NULL AND review_benefit > threshold AS wants
+      FROM best b JOIN grid USING (variant) WHERE split = 'calibration'),
+    granted AS (SELECT *, wants AND sum(CAST(wants AS INT)) OVER (
+      PARTITION BY variant, threshold, day ORDER BY ms, txn_id ROWS UNBOUNDED PRECEDING) <= {BUDGET} AS fits FROM tried),
+    losses AS (SELECT variant, threshold, sum(CASE WHEN fits THEN cost_review
+      WHEN coalesce(forced, fallback) = 'approve' THEN cost_approve ELSE cost_block END) AS expected_loss
+      FROM granted GROUP BY variant, threshold),
+    picked AS (SELECT variant, max(threshold) AS review_threshold
+      FROM (SELECT *, min(expected_loss) OVER (PARTITION BY variant) AS lowest FROM losses) WHERE {_TIES} GROUP BY variant),
+    asked AS (SELECT b.*, forced IS NULL AND review_benefit > review_threshold AS wants
+      FROM best b JOIN picked USING (variant) WHERE split = 'test'),
+    seated AS (SELECT *, wants AND sum(CAST(wants AS INT)) OVER (
+      PARTITION BY variant, day ORDER BY ms, txn_id ROWS UNBOUNDED PRECEDING) <= {BUDGET} AS fits FROM asked),
+    settled AS (SELECT *, coalesce(forced, CASE WHEN fits THEN 'review' ELSE fallback END) AS action,
+      wants AND NOT fits AS capped FROM seated),
+    decided AS (SELECT *, CASE action WHEN 'approve' THEN cost_approve WHEN 'review' THEN cost_review
+      ELSE cost_block END AS expected_cost FROM settled)
+    SELECT * FROM ({outcome_sql('decided', 'variant', catch='any_value(catch)', margin='any_value(margin)', case='any_value(rc)')})
+    JOIN picked USING (variant)""",
+    [*_OUTCOME_DOUBLES, "review_threshold"],
+    3,
+)
+
+SWEEP_SQL = rounded_sql(
+    f"""WITH {ROWS_SQL},
+    tune AS (SELECT * FROM costed WHERE split = 'calibration'),
+    budgets AS (SELECT * FROM (VALUES {_BUDGET_VALUES}) b(budget)),
+    grid AS (SELECT DISTINCT threshold FROM (
+      SELECT 0.0::DOUBLE AS threshold UNION ALL
+      SELECT unnest(quantile_cont(review_benefit, [{_LEVEL_LIST}])) FROM tune
+      WHERE forced IS NULL AND review_benefit > 0)),
+    t_granted AS (SELECT *, wants AND sum(CAST(wants AS INT)) OVER (
+      PARTITION BY budget, threshold, day ORDER BY ms, txn_id ROWS UNBOUNDED PRECEDING) <= budget AS fits
+      FROM (SELECT budget, threshold, t.*, forced IS NULL AND review_benefit > threshold AS wants FROM tune t, grid, budgets)),
+    t_losses AS (SELECT budget, threshold, sum(CASE WHEN fits THEN cost_review
+      WHEN coalesce(forced, fallback) = 'approve' THEN cost_approve ELSE cost_block END) AS expected_loss
+      FROM t_granted GROUP BY budget, threshold),
+    t_picked AS (SELECT budget, max(threshold) AS review_threshold,
+        arg_max(expected_loss, threshold) AS tuning_expected_loss
+      FROM (SELECT *, min(expected_loss) OVER (PARTITION BY budget) AS lowest FROM t_losses) WHERE {_TIES} GROUP BY budget),
+    values_of AS (SELECT DISTINCT v FROM (
+      SELECT unnest(quantile_cont(probability, [{_SHARES}])) AS v FROM tune UNION ALL SELECT 'infinity'::DOUBLE)),
+    p_granted AS (SELECT *, wants AND sum(CAST(wants AS INT)) OVER (
+      PARTITION BY budget, review_at, block_at, day ORDER BY ms, txn_id ROWS UNBOUNDED PRECEDING) <= budget AS fits
+      FROM (SELECT budget, a.v AS review_at, b.v AS block_at, t.*,
+          forced IS NULL AND probability >= a.v AND probability < b.v AS wants
+        FROM tune t, values_of a JOIN values_of b ON a.v <= b.v, budgets)),
+    p_losses AS (SELECT budget, review_at, block_at, sum(CASE WHEN fits THEN cost_review
+      WHEN coalesce(forced, CASE WHEN probability >= block_at THEN 'block' ELSE 'approve' END) = 'approve'
+      THEN cost_approve ELSE cost_block END) AS expected_loss FROM p_granted GROUP BY budget, review_at, block_at),
+    p_picked AS (SELECT budget, max({{'block_at': block_at, 'review_at': review_at}}) AS pair,
+        arg_max(expected_loss, {{'block_at': block_at, 'review_at': review_at}}) AS tuning_expected_loss
+      FROM (SELECT *, min(expected_loss) OVER (PARTITION BY budget) AS lowest FROM p_losses) WHERE {_TIES} GROUP BY budget),
+    settings AS (
+      SELECT 'expected_loss' AS policy, CAST(budget AS BIGINT) AS reviews_per_day, review_threshold,
+        CAST(NULL AS DOUBLE) AS review_at, CAST(NULL AS DOUBLE) AS block_at, tuning_expected_loss FROM t_picked
+      UNION ALL SELECT 'probability_thresholds', budget, NULL, pair.review_at, pair.block_at, tuning_expected_loss FROM p_picked
+      UNION ALL SELECT 'rules', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'approve_all', NULL, NULL, NULL, NULL, NULL),
+    fired AS (SELECT txn_id, rules_fired FROM ({RULE_FLAGS_SQL})),
+    asked AS (SELECT c.*, s.policy || '/' || coalesce(CAST(reviews_per_day AS VARCHAR), '') AS setting, reviews_per_day,
+        coalesce(forced IS NULL AND CASE policy WHEN 'expected_loss' THEN review_benefit > review_threshold
+          WHEN 'probability_thresholds' THEN probability >= review_at AND probability < block_at ELSE false END, false) AS wants,
+        CASE policy WHEN 'expected_loss' THEN fallback
+          WHEN 'probability_thresholds' THEN CASE WHEN probability >= block_at THEN 'block' ELSE 'approve' END
+          WHEN 'rules' THEN CASE WHEN rules_fired > 0 THEN 'block' ELSE 'approve' END ELSE 'approve' END AS fb
+      FROM costed c JOIN fired USING (txn_id), settings s WHERE split = 'test'),
+    seated AS (SELECT *, wants AND sum(CAST(wants AS INT)) OVER (
+      PARTITION BY setting, day ORDER BY ms, txn_id ROWS UNBOUNDED PRECEDING) <= reviews_per_day AS fits FROM asked),
+    settled AS (SELECT *, coalesce(forced, CASE WHEN fits THEN 'review' ELSE fb END) AS action,
+      wants AND NOT fits AS capped FROM seated),
+    decided AS (SELECT *, CASE action WHEN 'approve' THEN cost_approve WHEN 'review' THEN cost_review
+      ELSE cost_block END AS expected_cost FROM settled)
+    SELECT s.*, o.* EXCLUDE (setting) FROM ({outcome_sql('decided', 'setting')}) o
+    JOIN settings s ON s.policy || '/' || coalesce(CAST(s.reviews_per_day AS VARCHAR), '') = o.setting""",
+    [*_OUTCOME_DOUBLES, "review_threshold", "review_at", "block_at", "tuning_expected_loss"],
+    3,
+)
+
+
 def decide_many_settings(spark: SparkSession, sf: str) -> DataFrame:
     """Reviews and capped rows of several settings decided in one pass."""
     settings = [
@@ -452,4 +559,6 @@ ORACLES: dict[str, str] = {
     "window_summary": SUMMARY_SQL,
     "cost_sensitivity": SENSITIVITY_SQL,
     "policy_input_problems": INPUT_PROBLEMS_SQL,
+    "policy_sweep": SWEEP_SQL,
+    "tuned_sensitivity": TUNED_SQL,
 }

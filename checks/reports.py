@@ -291,8 +291,10 @@ RULE_FLAGS_SQL = f"""WITH {RULES_SQL} SELECT txn_id, {', '.join(f'rule_{r}' for
 rules_fired, CASE WHEN rules_fired > 0 THEN 'block' ELSE 'approve' END AS action FROM ruled"""
 
 
-def report_sql(source: str, by: str) -> str:
-    """The decision report over (action, is_fraud, mu) rows, grouped by one column."""
+def report_sql(
+    source: str, by: str, *, catch: str = "0.9", margin: str = "0.1", fixed: str = "2.0", case: str = "5.0"
+) -> str:
+    """The decision report over (action, is_fraud, mu) rows, grouped by one column; costs as expressions."""
     money = "CAST(coalesce(sum(mu) FILTER ({c}), 0) AS BIGINT) / 1000.0"
 
     def m(condition: str) -> str:
@@ -306,11 +308,11 @@ def report_sql(source: str, by: str) -> str:
 
     review_fraud, approve_fraud = "action = 'review' AND is_fraud", "action = 'approve' AND is_fraud"
     value, bf = m("is_fraud"), m("action = 'block' AND is_fraud")
-    caught = f"({bf} + 0.9 * ({m(review_fraud)}))"
-    missed = f"({m(approve_fraud)} + (1.0::DOUBLE - 0.9::DOUBLE) * ({m(review_fraud)}))"
+    caught = f"({bf} + {catch} * ({m(review_fraud)}))"
+    missed = f"({m(approve_fraud)} + (1.0::DOUBLE - {catch}::DOUBLE) * ({m(review_fraud)}))"
     wrong = "action = 'block' AND NOT is_fraud"
-    declines = f"(0.1 * ({m(wrong)}) + 2.0 * {n(wrong)})"
-    reviews = "(5.0 * " + n("action = 'review'") + ")"
+    declines = f"({margin} * ({m(wrong)}) + {fixed} * {n(wrong)})"
+    reviews = f"({case} * " + n("action = 'review'") + ")"
     stepped = "action IN ('block', 'review')"
     return f"""SELECT {by}, count(*) AS n_transactions, {n('is_fraud')} AS n_fraud,
       {share(n("action = 'block'"), 'count(*)')} AS block_rate,
