@@ -171,10 +171,8 @@ def mixtures(grams: np.ndarray, offsets: np.ndarray, model: MixtureModel) -> np.
 def detect(docs: DataFrame, model: MixtureModel) -> DataFrame:
     """Per document: ``doc_id``, ``lang_pred``, ``score`` (the proportion of that language), ``languages``
     (the chosen set with proportions, largest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             lang, score, mixture = [], [], []
@@ -204,16 +202,15 @@ def detect(docs: DataFrame, model: MixtureModel) -> DataFrame:
 
 def keep_determined(docs: DataFrame, model: MixtureModel) -> DataFrame:
     """The rows of ``docs``, all columns, whose language can be told."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             told = np.zeros(len(texts), dtype=bool)
             for a, b in chunks(texts):
-                _, offsets = _grams(texts[a:b], shared.value.settings)
+                _, offsets = _grams(texts[a:b], model.settings)
                 told[a:b] = [n > 0 and bool(LETTER.search(t)) for n, t in zip(np.diff(offsets), texts[a:b], strict=True)]
-            yield batch[told & bool(shared.value.languages)]
+            yield batch[told & bool(model.languages)]
 
     return docs.mapInPandas(work, docs.schema)
 

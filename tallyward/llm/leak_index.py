@@ -247,10 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings | None =
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
     def against(index: Index) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = shared.value
             for batch in batches:
                 rows = [
                     (doc_id, index.ids[i], *found)
@@ -269,11 +266,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings
     """The rows of ``docs``, all columns, whose text leaks no item."""
     settings = settings or LeakSettings()
     for index in indexes(benchmark, settings):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def work(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                clean = np.array([not got for got in _search(batch, shared.value, settings)], dtype=bool)
+                clean = np.array([not got for got in _search(batch, index, settings)], dtype=bool)
                 yield batch[clean] if len(batch) else batch
 
         docs = docs.mapInPandas(work, docs.schema)

@@ -284,10 +284,8 @@ def _spans(text: str, flagged: np.ndarray) -> list[dict]:
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """Per document: ``doc_id``, ``score``, ``toxic_tokens``, ``spans`` (code point ranges)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         evidence = Evidence(model)
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
