@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -189,13 +188,20 @@ def _uniforms(group: pd.DataFrame, resample: int, label: int, seed: int) -> np.n
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-@lru_cache(maxsize=4096)
+#: Summed probabilities by mean, kept per task. A plain table: a wrapper of the standard library would be pickled by name.
+POISSON_STEPS: dict[int, tuple[int, np.ndarray]] = {}
+
+
 def _poisson_steps(mean: int) -> tuple[int, np.ndarray]:
-    reach = int(12 * math.sqrt(mean) + 24)
-    low = max(0, mean - reach)
-    values = np.arange(low, mean + reach + 1)
-    logs = values * math.log(mean) - mean - np.array([math.lgamma(v + 1) for v in values])
-    return low, np.cumsum(np.exp(logs))
+    if mean not in POISSON_STEPS:
+        if len(POISSON_STEPS) >= 4096:
+            POISSON_STEPS.clear()
+        reach = int(12 * math.sqrt(mean) + 24)
+        low = max(0, mean - reach)
+        values = np.arange(low, mean + reach + 1)
+        logs = values * math.log(mean) - mean - np.array([math.lgamma(v + 1) for v in values])
+        POISSON_STEPS[mean] = low, np.cumsum(np.exp(logs))
+    return POISSON_STEPS[mean]
 
 
 def _poisson(mean: int, u: np.ndarray) -> np.ndarray:

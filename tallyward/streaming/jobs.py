@@ -17,6 +17,7 @@ from tallyward.operators.prep import latest_by_key
 from tallyward.session import materialize, scratch_path
 from tallyward.settings import REVIEW, CostModel
 from tallyward.sources.contracts import accepted, decode_events, decode_labels, quarantined
+from tallyward.streaming.ledger import BudgetLedger, numbered_folders
 from tallyward.streaming.state import FeatureState, once, refuse_rewind
 
 
@@ -117,6 +118,8 @@ def build_features(state: FeatureState, output: str) -> Callable:
 def read_batches(spark: SparkSession, output: str, key: str = "txn_id") -> DataFrame:
     """All batches of a job's output; a redelivered row counts once, from its first batch."""
     df = spark.read.option("basePath", output).parquet(output)
+    if "day" in df.columns:  # read from folder names
+        df = df.withColumn("day", F.col("day").cast("bigint"))
     first = F.struct((-F.col("batch_id")).alias("_b"))
     rest = [c for c in df.columns if c not in (key, "batch_id")]
     return (
@@ -130,14 +133,17 @@ def read_batches(spark: SparkSession, output: str, key: str = "txn_id") -> DataF
 
 
 def decide_batches(
-    output: str, costs: CostModel, *, threshold: float, reviews_per_day: int
+    output: str, costs: CostModel, *, threshold: float, reviews_per_day: int, fold_every: int = 20
 ) -> Callable:
     """A batch handler that decides scored rows under the day's remaining review budget.
 
     Budget goes to micro-batches in order, then to rows in event order: the same as one batch run
     if batches arrive in event order. Batches after this one do not count as used, so a retry
-    decides the same way.
+    decides the same way. What was granted before comes from a ledger of small folds and deltas, and redelivered rows
+    are found among the earlier decisions of the batch's own event days (a redelivered row keeps its event time): neither
+    grows with the length of the stream.
     """
+    ledger = BudgetLedger(f"{output}/_budget", fold_every)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -147,40 +153,48 @@ def decide_batches(
             .withColumn("event_ms", event_ms())
             .withColumn("day", day_number(F.col("event_ms")))
         )
-        earlier = _earlier_decisions(spark, output, batch_id)
+        days = [r["day"] for r in rows.select("day").distinct().limit(BATCH_DAYS + 1).collect()]
+        earlier = _earlier_decisions(spark, output, batch_id, days)
         fresh = rows.join(earlier.select("txn_id"), "txn_id", "left_anti")
-        used = (
-            earlier.filter(F.col("action") == REVIEW)
-            .groupBy("day")
-            .agg(F.count(F.lit(1)).alias("used"))
-        )
         decided = decide_by_expected_loss(
-            fresh, costs, threshold=threshold, reviews_per_day=reviews_per_day, used=used
+            fresh,
+            costs,
+            threshold=threshold,
+            reviews_per_day=reviews_per_day,
+            used=ledger.used(spark, batch_id),
         )
-        decided.select("txn_id", "day", "action", "capped", "expected_cost").write.mode(
-            "overwrite"
-        ).parquet(f"{output}/batch_id={batch_id}")
+        path = f"{output}/batch_id={batch_id}"
+        decided.select("txn_id", "day", "action", "capped", "expected_cost").write.mode("overwrite").partitionBy(
+            "day"
+        ).parquet(path)
+        granted = spark.read.schema(DECIDED).option("basePath", output).parquet(path)
+        spent = granted.filter(F.col("action") == REVIEW).groupBy("day").agg(F.count(F.lit(1)).alias("used"))
+        ledger.commit(spent, batch_id)
 
     return handle
 
 
+#: Event days of one batch whose folders are named to the reader; a batch of more days reads all days.
+BATCH_DAYS = 400
+
 DECIDED = T.StructType(
     [
         T.StructField("txn_id", T.StringType()),
-        T.StructField("day", T.LongType()),
         T.StructField("action", T.StringType()),
         T.StructField("capped", T.BooleanType()),
         T.StructField("expected_cost", T.DoubleType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("day", T.LongType()),
     ]
 )
 
 
-def _earlier_decisions(spark: SparkSession, output: str, batch_id: int) -> DataFrame:
-    if batch_id == 0:
+def _earlier_decisions(spark: SparkSession, output: str, batch_id: int, days: list[int]) -> DataFrame:
+    if not any(n < batch_id for n in numbered_folders(spark, output, "batch_id")):
         return spark.createDataFrame([], DECIDED)
     df = spark.read.schema(DECIDED).option("basePath", output).parquet(output)
-    return df.filter(F.col("batch_id") < batch_id)
+    df = df.filter(F.col("batch_id") < batch_id)
+    return df.filter(F.col("day").isin(days)) if len(days) <= BATCH_DAYS else df
 
 
 def sink_decisions(output: str) -> Callable:

@@ -29,6 +29,7 @@ from tallyward.operators.features import (
 from tallyward.operators.timeline import behaviour, busy_keys
 from tallyward.session import materialize
 from tallyward.settings import DAY_MS, DEVIATION_WINDOW_MS, SkewPolicy
+from tallyward.streaming.ledger import numbered_folders
 
 EVENT_STATE = T.StructType(
     [
@@ -103,12 +104,7 @@ def once(df: DataFrame) -> DataFrame:
 def refuse_rewind(spark: SparkSession, path: str, batch_id: int) -> None:
     """Fail where ``path`` already holds a later batch: a query that lost its checkpoint starts again at
     batch 0, and would overwrite other data than its own. Writing the last batch again is a retry."""
-    try:
-        last = spark.read.option("basePath", path).parquet(path).agg(F.max("batch_id")).first()[0]
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return
+    last = max(numbered_folders(spark, path, "batch_id"), default=None)
     if last is not None and last > batch_id:
         raise ValueError(f"{path} holds batch {last}, later than {batch_id}: give a restarted query a folder of its own")
 

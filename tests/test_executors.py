@@ -1,0 +1,29 @@
+"""Python tasks run where the package cannot be imported, as on executors of a cluster."""
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parent.parent
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {root!r})  # the driver alone
+import __spark_entry__ as entry
+from tallyward.session import local_session
+spark = local_session("apart", cpus=4)
+for name in {names!r}:
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
+    print("ran", name)
+"""
+
+
+def test_queries_run_without_the_package_on_executors(tmp_path):
+    names = ["contribution_gaps", "isotonic_calibration", "bootstrap_interval", "threshold_losses", "ranking_by_window"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    script = tmp_path / "apart.py"
+    script.write_text(SCRIPT.format(root=str(ROOT), names=names))
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("ran ") == len(names)

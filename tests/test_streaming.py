@@ -7,6 +7,7 @@ from tallyward.operators.features import compute_features
 from tallyward.session import scratch_path
 from tallyward.settings import CostModel
 from tallyward.streaming.jobs import append_jsonl, decide_batches, read_batches
+from tallyward.streaming.ledger import BudgetLedger, drop_folder, numbered_folders
 from tallyward.streaming.state import CARD_DEVICE, FeatureState, once
 
 
@@ -117,3 +118,44 @@ def test_messages_are_appended_as_lines(spark, tmp_path):
     append_jsonl(sent, str(tmp_path / "out"))
     append_jsonl(sent, str(tmp_path / "out"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a": 1}'] * 2
+
+
+def test_ledger_reads_no_more_after_many_batches(spark):
+    ledger = BudgetLedger(scratch_path(spark, "ledger"), fold_every=3)
+
+    def spent(n):
+        return spark.createDataFrame([(n % 2, n), (7, 1)], "day long, used long")
+
+    def used(n):
+        return {r["day"]: r["used"] for r in ledger.used(spark, n).collect()}
+
+    most = 0
+    for n in range(14):
+        want = {d: s for d in (0, 1) if (s := sum(k for k in range(n) if k % 2 == d))} | ({7: n} if n else {})
+        got = {d: v for d, v in used(n).items() if v}
+        assert got == want
+        most = max(most, len(ledger.pieces(spark, n)))
+        ledger.commit(spent(n), n)
+        ledger.commit(spent(n), n)  # a retry writes the same again
+    assert most <= 1 + 3
+    assert len(numbered_folders(spark, f"{ledger.root}/delta", "batch_id")) <= 6
+    assert len(numbered_folders(spark, f"{ledger.root}/fold", "upto")) <= 2
+    # batch 11 folded; tried once more, it still finds what it found
+    assert used(11) == {0: 30, 1: 25, 7: 11}
+
+
+def test_a_batch_that_stops_before_its_ledger_entry_is_decided_the_same_way_again(spark):
+    out = scratch_path(spark, "decided")
+    base = events(spark, [("c", s, 5_000) for s in range(8)]).withColumn("probability", F.lit(0.3)).withColumn(
+        "forced", F.lit(None).cast("string")
+    )
+    handle = decide_batches(out, CostModel(), threshold=0.0, reviews_per_day=4, fold_every=2)
+    for n in range(4):
+        part = base.filter(F.col("txn_id").isin([f"t00{2 * n}", f"t00{2 * n + 1}", "t000"]))
+        handle(part, n)
+        before = sorted(map(tuple, read_batches(spark, out).collect()))
+        drop_folder(spark, f"{out}/_budget/delta/batch_id={n}")  # lost between the decisions and the entry
+        handle(part, n)
+        assert sorted(map(tuple, read_batches(spark, out).collect())) == before
+    got = column(read_batches(spark, out), "action")
+    assert got[:4] == ["review"] * 4 and "review" not in got[4:]
