@@ -341,16 +341,16 @@ costs AS (
     UNION ALL SELECT txn_id, 'review', 5.0 + p * (1.0::DOUBLE - 0.9::DOUBLE) * amount FROM decisions
     UNION ALL SELECT txn_id, 'block', (1.0 - p) * (0.1::DOUBLE * amount + 2.0) FROM decisions) GROUP BY txn_id
 )
-SELECT d.txn_id, CAST(11 AS BIGINT) AS facts, cheapest_first, CAST(1 AS BIGINT) AS reasons,
-  'amount=' || format('{{:,.2f}}', amount) || ' USD/' || CASE WHEN n % 4 = 0 THEN 'no 30-day average'
-    ELSE '30-day average ' || format('{{:,.2f}}', CAST(format('{{:.2f}}', amount * 2) AS DOUBLE)) || ' USD'
-      || CASE WHEN n % 8 > 2 THEN ', z +1.3' ELSE '' END END
-  || ';payments=' || (n % 7) || ' in 1h/' || (n % 7 + 12) || ' in 24h, '
-  || format('{{:.1f}}', round((n % 7 + 12) / 24.0 + 1e-9, 1)) || ' an hour'
-  || CASE WHEN n % 5 <> 0 THEN ';device=' || CASE n % 3 WHEN 0 THEN 'known' WHEN 1 THEN 'new' ELSE 'none' END
-       || '/2 devices in 24h' ELSE '' END
-  || CASE WHEN n % 2 = 0 THEN ';merchant=' || merchant_id || '/new' ELSE '' END
-  || ';first use=3.5 days ago/' AS baseline,
+SELECT d.txn_id, CAST(16 AS BIGINT) AS facts, cheapest_first, CAST(1 AS BIGINT) AS reasons,
+  'amount=' || format('{{:,.2f}}', amount) || ' USD/' || CASE WHEN n % 8 = 0 THEN 'nothing known'
+    WHEN n % 4 = 0 THEN 'zscore +1.3'
+    ELSE 'mean ' || format('{{:,.2f}}', CAST(format('{{:.2f}}', amount * 2) AS DOUBLE)) || ' USD'
+      || CASE WHEN n % 8 > 2 THEN ', zscore +1.3' ELSE '' END END
+  || ';txn count=' || (n % 7) || ' in 1h/' || (n % 7 + 12) || ' in 24h'
+  || CASE n % 3 WHEN 0 THEN ';device=' || coalesce(device_id, '-') || '/seen before'
+       WHEN 1 THEN ';device=' || coalesce(device_id, '-') || '/first time' ELSE '' END
+  || CASE WHEN n % 2 = 0 THEN ';merchant=' || merchant_id || '/first time' ELSE '' END
+  || ';card age=3.5 days/' AS baseline,
   coalesce(h.history, '') AS history, v.verdict
 FROM decisions d JOIN costs USING (txn_id) LEFT JOIN h ON h.case_id = d.txn_id
 LEFT JOIN verdicts v ON v.txn_id = d.txn_id WHERE d.action = 'review'"""
