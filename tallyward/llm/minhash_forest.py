@@ -7,13 +7,16 @@
   and the first document of its part.
 * Candidates are confirmed on the full shingle sets of whole texts. First every document's most frequent
   candidate, then all others whose ends are still in different components.
-* Then regions whose members are still in different components are met again: first each member with the member
-  of most links, then every remaining pair of different components. No pair of one region is left out unless both
-  ends are already linked through others, or the sizes of their sets alone exclude it.
-
-Work is linear where the members of a region are near copies. A region of many members that are not costs all its
-pairs; they are met in blocks, so no task holds a region. Defined results: null and empty texts, and texts without words, have an empty set and are linked with
-nothing; rows without id stand alone; rows that share an id share its component; extra columns are not read.
+* Then regions whose members are still in different components are opened: first each member meets the member of
+  most links, then the members' sets are joined by prefixes. A set's shingles are put into one order for all sets,
+  roughly from rare to common; two sets of similarity t share one of the first n - ceil(t * n) + 1, so only members
+  that do, whose sizes and places of that shingle allow the similarity, and whose components differ, are confirmed.
+  No pair of one region is lost.
+
+Families of texts that resemble each other but are no near copies differ in their rare shingles, so they seldom meet.
+A shingle that many prefixes share is met in blocks, so no task holds all its documents. Defined results: null and
+empty texts, and texts without words, have an empty set and are linked with nothing; rows without id stand alone; rows
+that share an id are one document, which links all their texts; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyward.llm.components import components
-from tallyward.llm.text import U64, chunks, encoded, mix, shingle_sets
+from tallyward.llm.text import U64, chunks, mix, shingle_sets
 from tallyward.session import materialize, ship
 
 ship(__name__)
@@ -38,7 +41,7 @@ ship(__name__)
 @dataclass(frozen=True)
 class ForestSettings:
     """A pair of similarity 0.8 shares a region of some tree with probability 1 - (1 - 0.8**depth) ** trees,
-    0.99998 with the defaults, and every pair of a region is judged. Of each hash 16 bits are kept."""
+    0.99998 with the defaults, and no pair of a region is lost. Of each hash 16 bits are kept."""
 
     words: int = 5
     percent: int = 80  # least 100 * intersection / union
@@ -47,6 +50,7 @@ class ForestSettings:
     deepest: int = 10  # of the first candidates only
     part: int = 512  # documents of a region that are sorted together before it is split, or met in one block
     neighbours: int = 3
+    rarity_bits: int = 18  # size of the table of shingle frequencies that orders the prefixes
 
     @property
     def hashes(self) -> int:
@@ -65,17 +69,31 @@ def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out.astype(np.uint16)  # the low bits: those of a minimum are as good as random
 
 
+#: Texts that a task turns into Python objects at once, and bytes of them whose shingles it holds.
+SLICE_ROWS, SLICE_BYTES = 256, 250_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def sketch(docs: DataFrame, settings: ForestSettings) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``k1``, ``k2`` (identity of the set), ``sig``."""
     seeds = mix(np.arange(1, 2 * settings.hashes + 1, dtype=U64))
     a = (seeds[: settings.hashes] >> U64(32)).astype(np.uint32) | np.uint32(1)
     b = (seeds[settings.hashes :] >> U64(32)).astype(np.uint32)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = encoded(batch["text"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = _bytes(batch.column("text"))
             n, k1, k2, sig = [], [], [], []
-            for start, end in chunks(texts):
+            for start, end in chunks(texts, SLICE_BYTES):
                 values, first = shingle_sets(texts[start:end], settings.words)
                 other = mix(values ^ U64(0x5851F42D4C957F2D))
                 for i in range(end - start):
@@ -84,11 +102,13 @@ def sketch(docs: DataFrame, settings: ForestSettings) -> DataFrame:
                     k1.append(values[own].sum(dtype=U64).astype(np.int64))
                     k2.append(other[own].sum(dtype=U64).astype(np.int64))
                     sig.append(signature(values[own], a, b).tobytes() if n[-1] else None)
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n": np.array(n, dtype=np.int64), "k1": k1, "k2": k2, "sig": sig}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, k1, k2)), pa.array(sig, pa.binary())],
+                ["doc_id", "n", "k1", "k2", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInPandas(
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(ids, F.col("text").cast("string").alias("text")).mapInArrow(
         work, "doc_id long, n long, k1 long, k2 long, sig binary"
     )
 
@@ -172,16 +192,76 @@ def hub_pairs(members: DataFrame, links: DataFrame, settings: ForestSettings) ->
     return _distinct_pairs(members.alias("x").join(hubs.alias("y"), "region").where(_may_pair(settings)))
 
 
-def rest_pairs(members: DataFrame, links: DataFrame, settings: ForestSettings) -> DataFrame:
-    """All pairs of an open region; blocks of at most about ``part`` members are met by pairs."""
-    blocks = F.ceil(F.col("size") / settings.part).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def rarity(texts: DataFrame, settings: ForestSettings) -> np.ndarray:
+    """Level of each hash bucket of shingles by the number of texts that use it. Only an order for the prefixes is
+    taken from it: any table gives the same links, a good one gives fewer meetings."""
+    size = 1 << settings.rarity_bits
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, dtype=np.int64)
+        for batch in _slices(batches):
+            plain = [zlib.decompress(t) for t in batch.column("text").to_pylist()]
+            for start, end in chunks(plain, SLICE_BYTES):
+                values, _ = shingle_sets(plain[start:end], settings.words)
+                counts += np.bincount((values & U64(size - 1)).astype(np.int64), minlength=size)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["bucket", "uses"])
+
+    summed = texts.select("text").mapInArrow(work, "bucket long, uses long").groupBy("bucket").agg(F.sum("uses").alias("uses"))
+    found = summed.toPandas()  # one row per bucket: bounded by the setting
+    uses = np.zeros(size, dtype=np.int64)
+    uses[found["bucket"].to_numpy(dtype=np.int64)] = found["uses"].to_numpy(dtype=np.int64)
+    return np.minimum(127, 4 * np.log2(1.0 + uses)).astype(np.uint8)
+
+
+def prefixes(texts: DataFrame, settings: ForestSettings) -> DataFrame:
+    """``rep``, ``n`` and ``shingles``: the first ones of each set, rare ones first, that two similar sets must share."""
+    levels = rarity(texts, settings)
+    low = U64(len(levels) - 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            plain = [zlib.decompress(t) for t in batch.column("text").to_pylist()]
+            sizes, heads = [], []
+            for start, end in chunks(plain, SLICE_BYTES):
+                values, first = shingle_sets(plain[start:end], settings.words)
+                # the level leads, 56 bits of the shingle follow
+                ranked = (levels[(values & low).astype(np.int64)].astype(U64) << U64(56)) | (mix(values) >> U64(8))
+                for i in range(end - start):
+                    n = int(first[i + 1] - first[i])
+                    keep = n + (-settings.percent * n // 100) + 1 if n else 0
+                    own = np.sort(ranked[first[i] : first[i + 1]])[:keep]
+                    sizes.append(n)
+                    heads.append(own.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
+                ["rep", "n", "shingles"],
+            )
+
+    return texts.select("id", "text").mapInArrow(work, "rep long, n long, shingles array<long>")
+
+
+def rest_pairs(heads: DataFrame, place: DataFrame, settings: ForestSettings) -> DataFrame:
+    """Pairs of different components that share a shingle of their prefixes and may be similar enough. A shingle of
+    more than ``part`` documents is met by blocks."""
+    placed = heads.join(place.select(F.col("id").alias("rep"), F.col("component").alias("place")), "rep", "left")
+    rows = placed.select("rep", "n", F.coalesce("place", "rep").alias("place"), F.posexplode("shingles").alias("at", "shingle"))
+    shared = (
+        rows.groupBy("shingle")
+        .agg(F.count("*").alias("size"), F.min("place").alias("lowest"), F.max("place").alias("highest"))
+        .where("lowest <> highest")
+        .select("shingle", F.ceil(F.col("size") / settings.part).cast("int").alias("blocks"))
+    )
+    dealt = rows.join(shared, "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "region", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "n", "place"
+        "shingle", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "n", "at", "place"
     )
-    met = dealt.alias("x").join(dealt.alias("y"), ["region", "one", "two"])
+    met = dealt.alias("x").join(dealt.alias("y"), ["shingle", "one", "two"])
     new = (F.col("one") == F.col("two")) | (F.col("x.block") != F.col("y.block"))
-    return _distinct_pairs(met.where((F.col("x.rep") < F.col("y.rep")) & new & _may_pair(settings)))
+    # of the first shingle in common: itself and what follows it in both sets
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = (100 + settings.percent) * left >= settings.percent * (F.col("x.n") + F.col("y.n"))
+    return _distinct_pairs(met.where((F.col("x.rep") < F.col("y.rep")) & new & enough & _may_pair(settings)))
 
 
 def _distinct_pairs(met: DataFrame) -> DataFrame:
@@ -192,41 +272,43 @@ def _distinct_pairs(met: DataFrame) -> DataFrame:
 def compressed(docs: DataFrame) -> DataFrame:
     """``id`` and the text's bytes, compressed."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {"id": batch["doc_id"], "text": [zlib.compress(t, 1) for t in encoded(batch["text"])]}
-            )
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            packed = [zlib.compress(t, 1) for t in _bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "text"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(work, "id long, text binary")
+    plain = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")
+    )
+    return plain.mapInArrow(work, "id long, text binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, settings: ForestSettings) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. ``texts``: ``id``, ``text`` (compressed)."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for i, both in enumerate(zip(batch["text_a"], batch["text_b"], strict=True)):
-                values, first = shingle_sets([zlib.decompress(t) for t in both], settings.words)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, both in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
+                values, first = shingle_sets([zlib.decompress(t.as_py()) for t in both], settings.words)
                 p, q = first[1], first[2] - first[1]
                 common = p + q - len(np.unique(values))
                 keep[i] = common > 0 and 100 * common >= settings.percent * (p + q - common)
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     with_text = (
         pairs.select("a", "b")
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     )
-    return with_text.mapInPandas(work, "a long, b long")
+    return with_text.mapInArrow(work, "a long, b long").distinct()
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The compressed texts of all ends of ``pairs``."""
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The compressed texts of ``ids`` (column ``id``)."""
     # the list of ids grows with the corpus, so texts are always met by a shuffle, compressed
-    return materialize(compressed(docs).join(involved.hint("merge"), "id", "left_semi"))
+    met = compressed(docs).join(ids.distinct().hint("merge"), "id", "left_semi")
+    return materialize(met.dropDuplicates(["id", "text"]))
 
 
 def near_duplicates(docs: DataFrame, settings: ForestSettings | None = None) -> DataFrame:
@@ -239,10 +321,24 @@ def near_duplicates(docs: DataFrame, settings: ForestSettings | None = None) ->
         .groupBy(*identity)
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     )
+    classes = sketched.select("doc_id", "n", "k1", "k2").join(reps.drop("sig"), identity, "left").drop("k1", "k2")
+    # rows of one id with different sets: the document stands in several classes and links them
+    shared = materialize(
+        classes.where("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(
+            F.min("rep").alias("lowest"),
+            F.max("rep").alias("highest"),
+            (F.count("rep") < F.count("*")).alias("some_empty"),
+        )
+        .where("lowest is not null and (some_empty or lowest <> highest)")
+        .select("doc_id", "lowest")
+    )
+    same_id = classes.join(shared, "doc_id").where("rep <> lowest").select(F.col("lowest").alias("a"), F.col("rep").alias("b"))
     pairs = materialize(candidates(reps, settings))
-    texts = texts_of(docs, pairs)
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
-    links = materialize(confirmed(best, texts, settings))
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
+    links = materialize(confirmed(best, texts, settings).unionByName(same_id.distinct()))
     place = materialize(components(links))
     apart = (
         pairs.join(best, ["a", "b"], "left_anti")
@@ -252,17 +348,24 @@ def near_duplicates(docs: DataFrame, settings: ForestSettings | None = None) ->
     )
     links = materialize(links.unionByName(confirmed(apart, texts, settings)))
     place = materialize(components(links))
-    judged = pairs  # all of them: refused, or within one component
-    for propose in (hub_pairs, rest_pairs):
-        members = open_regions(reps, place, settings)
-        proposed = materialize(propose(members, links, settings).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
-        if proposed.isEmpty():
-            continue
-        judged = judged.select("a", "b").unionByName(proposed)
-        links = materialize(links.unionByName(confirmed(proposed, texts_of(docs, proposed), settings)))
+    judged = pairs.select("a", "b")  # all of them: refused, or within one component
+    members = open_regions(reps, place, settings)
+    proposed = materialize(hub_pairs(members, links, settings).join(judged, ["a", "b"], "left_anti"))
+    opened = members.select(F.col("rep").alias("id")).distinct()
+    texts = texts_of(docs, opened)
+    if not proposed.isEmpty():
+        judged = judged.unionByName(proposed)
+        links = materialize(links.unionByName(confirmed(proposed, texts, settings)))
         place = materialize(components(links))
-    classes = sketched.select("doc_id", "n", "k1", "k2").join(reps.drop("sig"), identity, "left")
-    return classes.join(place.withColumnRenamed("id", "rep"), "rep", "left").select(
+    if not texts.isEmpty():
+        heads = materialize(prefixes(texts, settings))
+        proposed = materialize(rest_pairs(heads, place, settings).join(judged, ["a", "b"], "left_anti"))
+        if not proposed.isEmpty():
+            links = materialize(links.unionByName(confirmed(proposed, texts, settings)))
+            place = materialize(components(links))
+    node = F.coalesce("rep", "lowest")
+    found = classes.join(shared, "doc_id", "left").withColumn("rep", node)
+    return found.join(place.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "rep", "doc_id").alias("component_id"),

@@ -103,6 +103,39 @@ def test_near_duplicates_find_every_leaf_of_a_star(spark):
     assert {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b, c = (sentence(k, 60) for k in (1, 2, 3))
+    rows = [(3, a), (7, a), (7, b), (9, b), (9, ""), (11, c), (11, None), (12, "")]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    got = minhash_forest.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == sorted(
+        [(3, 3, True), (7, 3, False), (7, 3, False), (9, 3, False), (9, 3, False), (11, 11, True), (11, 11, True), (12, 12, True)]
+    )
+
+
+def test_prefixes_of_similar_sets_meet(spark):
+    """Families around the limit, whose members share regions: all pairs by brute force, whatever the table of levels."""
+    rows = []
+    for family in range(4):
+        base = sentence(900 + family, 90).split()
+        for k in range(20):
+            w = list(base)
+            for j in range(1 + k % 6):
+                w[(k * 13 + j * 17) % 90] = f"own{k}x{j}"
+            rows.append((family * 100 + k, " ".join(w[: 90 - k % 3])))
+    sets = {i: shingles(t, 5) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    for bits in (1, 18):
+        settings = minhash_forest.ForestSettings(part=8, rarity_bits=bits)
+        texts = minhash_forest.compressed(documents(spark, [(i, t, "en", "s", 0) for i, t in rows]))
+        heads = minhash_forest.prefixes(texts, settings)
+        place = spark.createDataFrame([], "id long, component long")
+        met = minhash_forest.rest_pairs(heads, place, settings)
+        found = {(r["a"], r["b"]) for r in met.collect()}
+        assert want <= found and all(a // 100 == b // 100 for a, b in found)
+        assert {(r["a"], r["b"]) for r in minhash_forest.confirmed(met, texts, settings).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_forest.near_duplicates(documents(spark, [])).count() == 0
 
