@@ -35,6 +35,8 @@ from tallyward.session import materialize, ship
 
 ship(__name__)
 
+#: Texts of a batch that are held as bytes at once.
+SLICE_ROWS = 512
 NO_ID = (1 << 63) - 1
 #: Runs of one task and group: bucket, identifier, document, text, start and windows; then those settled at once.
 COLUMNS = ["part", "g", "w", "d", "k", "s", "n", "d2", "k2", "s2", "n2"]
@@ -46,15 +48,21 @@ SPANS = "rank_id long, text_key long, start long, windows int, settled boolean"
 class SubstringSettings:
     window: int = 50
     q: int = 20
-    bucket_bytes: int = 16_000_000  # text behind one group of buckets
+    bucket_bytes: int = 8_000_000  # text behind one group of buckets
     refined: int = 40_000  # runs in one group of the last refinement
-    flush: int = 1_000_000  # runs gathered in a task before they are sent
+    flush: int = 250_000  # runs gathered in a task before they are sent, about 41 bytes each
 
 
 def _keys():
     return F.coalesce("doc_id", F.lit(NO_ID)).alias("rank_id"), F.xxhash64("text").alias("text_key")
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k in range(0, len(batch), SLICE_ROWS):
+            yield batch.iloc[k : k + SLICE_ROWS]
+
+
 def _low_bytes(x: np.ndarray, n: int) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
 
@@ -118,10 +126,10 @@ def _sent(gathered: list[tuple[np.ndarray, ...]], groups: int) -> pd.DataFrame:
 def sampled_runs(docs: DataFrame, groups: int, settings: SubstringSettings) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gathered, size = [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             texts = encoded(batch["text"])
             ids, keys = batch["rank_id"].to_numpy(), batch["text_key"].to_numpy()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 500_000):
                 r = runs_of(texts[a:b], settings.window, settings.q)
                 gathered.append((ids[r.text + a], keys[r.text + a], r.start, r.windows, r.gram, r.whole))
                 size += len(r.text)
@@ -228,7 +236,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``rank_id``, ``text_key`` and the text's bytes, compressed for the shuffle."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch[["doc_id", "rank_id", "text_key"]].assign(
                 packed=[zlib.compress(t, 1) for t in encoded(batch["text"])]
             )
@@ -307,7 +315,7 @@ def deduplicate(docs: DataFrame, settings: SubstringSettings | None = None) -> D
     spans = _by_document(repeated_spans(docs, s))
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, removed, kept = [], [], []
             for packed, starts, counts in zip(batch["packed"], batch["starts"], batch["counts"], strict=True):
                 text = zlib.decompress(packed)
