@@ -39,5 +39,5 @@ def run_apart(tmp_path, names):
 def test_operators_run_without_the_package_on_executors(tmp_path):
     run_apart(
         tmp_path,
-        ["op3_language_mixture", "op4_leak_index", "op9_toxic_spans", "op11_whitening", "op12_word_runs", "op13_quality_net"],
+        ["op2_minhash_forest", "op3_language_mixture", "op4_leak_index", "op9_toxic_spans", "op10_substring_dedup", "op11_whitening", "op12_word_runs", "op13_quality_net"],
     )
