@@ -178,3 +178,17 @@ def test_naive_sums_keep_money_below_a_cent_and_unknown_labels_count_zero(spark)
     out = compute_naive_features(rows, with_labels=True).first()
     assert (out["card_amount_sum_1h"], out["card_amount_mean_30d"]) == (0.25, 0.125)
     assert out["card_prior_fraud_labels"] == 0
+
+
+def test_kept_columns_travel_with_the_features(spark):
+    """One shuffle per entity and none by transaction: the frame's columns need no join."""
+    df = events(spark, [("c", 0, 5, "d"), ("c", 1, 7, None), ("e", 2, 1, "d")])
+    labels = spark.createDataFrame([], LABELS)
+    out = compute_features(df, labels, policy=SkewPolicy(enabled=False), keep=["event_ts", "amount", "is_fraud"])
+    assert column(out, "amount") == [5.0, 7.0, 1.0]
+    assert column(out, "event_ts") == [r["event_ts"] for r in df.orderBy("txn_id").collect()]
+    assert parity(out.select("txn_id", *feature_names(with_labels=True)), compute_features(df, labels)).first()[:] == (0, 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(txn_id" not in plan
+    wanted = ["card_txn_count_1h", "device_age_days"]
+    assert compute_features(df, only=wanted).columns == ["txn_id", *wanted]
