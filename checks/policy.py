@@ -89,10 +89,11 @@ def override_rule_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def override_long_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """A blocklist too long for an IN filter goes through a join; half of all cards are on it."""
-    ids = tuple(f"c_{i}" for i in range(0, 200_000, 2))
+    """A blocklist as long as the data goes through a join; every card of an even number is on it."""
     base = li(spark, sf).withColumn("card_txn_count_1h", F.lit(0))
-    out = policy.with_overrides(base, Overrides(blocked_card_ids=ids, velocity_cap_1h=None))
+    holders = spark.read.parquet(f"{sf}/orders.parquet").filter(F.col("o_custkey") % 2 == 0)
+    listed = holders.select(F.concat(F.lit("c_"), F.col("o_custkey").cast("string")).alias("card_id")).distinct()
+    out = policy.with_overrides(base, Overrides(velocity_cap_1h=None), {"blocked_card": listed})
     return out.select("txn_id", "forced", "override_rule")
 
 

@@ -266,3 +266,21 @@ def test_tuned_policy_is_refused_elsewhere():
         from_mapping(CostModel, {"colour": 1})
     with pytest.raises(SettingsError, match="catch rate"):
         CostModel(review_catch_rate=2)
+
+
+def test_a_blocklist_as_long_as_the_data(spark, tmp_path):
+    """Cards numbered beyond any fixed list are blocked too."""
+    from checks.policy import override_long_lists
+
+    sf = "/root/testdata/sf0.001"
+    shift = 7_000_000
+    spark.read.parquet(f"{sf}/orders.parquet").withColumn("o_custkey", F.col("o_custkey") + shift).write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    spark.read.parquet(f"{sf}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    from checks.common import li
+
+    even = F.substring("card_id", 3, 20).cast("bigint") % 2 == 0
+    want = li(spark, str(tmp_path)).filter(even).count()
+    out = override_long_lists(spark, str(tmp_path))
+    assert out.filter(F.col("forced") == "block").count() == want > 0
