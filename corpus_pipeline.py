@@ -19,7 +19,8 @@ from tallyward.session import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter go."""
+    """Documents for which mixture inference names a language, which fills a missing ``lang``; texts without a letter
+    go."""
     model = lang_mixture.fit(docs, lang_mixture.fold("doc_id", 3) != 1)
     return lang_mixture.keep_determined(docs, model)
 

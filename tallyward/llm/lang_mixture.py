@@ -201,16 +201,21 @@ def detect(docs: DataFrame, model: MixtureModel) -> DataFrame:
 
 
 def keep_determined(docs: DataFrame, model: MixtureModel) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told."""
+    """The rows of ``docs``, all columns, for which mixture inference names a language, as in ``detect``; where
+    ``lang`` is null it becomes that language."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            told = np.zeros(len(texts), dtype=bool)
+            lang: list[str | None] = []
             for a, b in chunks(texts):
-                _, offsets = _grams(texts[a:b], model.settings)
-                told[a:b] = [n > 0 and bool(LETTER.search(t)) for n, t in zip(np.diff(offsets), texts[a:b], strict=True)]
-            yield batch[told & bool(model.languages)]
+                shares = mixtures(*_grams(texts[a:b], model.settings), model)
+                for text, share in zip(texts[a:b], shares, strict=True):
+                    told = share.any() and LETTER.search(text)
+                    lang.append(model.languages[int(np.argmax(share))] if told else None)
+            inferred = pd.Series(lang, index=batch.index, dtype=object)
+            kept = inferred.notna()
+            yield batch.assign(lang=batch["lang"].where(batch["lang"].notna(), inferred))[kept]
 
     return docs.mapInPandas(work, docs.schema)
 

@@ -294,3 +294,15 @@ def test_pages_outside_an_article_go_by_words_and_links():
     main = "This paragraph has a good number of words about one thing, as articles do. " * 3
     html = f"<body><p>{main}</p><p>{main}</p><ul><li><a href=a>One</a><li><a href=b>Two more</a></ul></body>"
     assert html_blocks.main_text(html) == f"{main.strip()}\n{main.strip()}"
+
+
+def test_the_language_stage_infers_the_language(spark):
+    from corpus_pipeline import language
+
+    rows = [(i, "the cat sat on the mat with the hat", "en") for i in range(9)]
+    rows += [(i, "der Hund schläft unter dem Tisch und träumt", "de") for i in range(9, 18)]
+    rows += [(18, "der Tisch und der Hund", None), (19, "the mat and the cat", None), (20, "123 456", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang"] for r in language(spark, docs, "").collect()}
+    assert (found[18], found[19]) == ("de", "en") and 20 not in found
+    assert [found[i] for i in range(18)] == ["en"] * 9 + ["de"] * 9
