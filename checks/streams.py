@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +36,19 @@ BATCH_DAYS = 10
 COSTS = CostModel()
 
 
-def _publish_batches(events: DataFrame, folder: str, days: list[tuple[int, int]]) -> None:
-    """One message file set per day range, in the given order."""
+def _deliver(
+    events: DataFrame, days: list[tuple[int, int]], handle: Callable[[DataFrame, int], None], name: str
+) -> None:
+    """Messages of one day range after the other, in the given order, each range one micro-batch.
+
+    All tasks write a range's messages; the stream goes on from its checkpoint after each.
+    """
+    spark = events.sparkSession
+    folder, checkpoint = scratch_path(spark, "events"), checkpoint_path(spark, name)
     for low, high in days:
         part = events.filter((day_number(event_ms()) >= low) & (day_number(event_ms()) < high))
-        publish(event_to_json(part).coalesce(1), path=folder)
+        publish(event_to_json(part), path=folder)
+        run_available(MessageSource(path=folder).read(spark), handle, checkpoint)
 
 
 def _day_ranges(events: DataFrame) -> list[tuple[int, int]]:
@@ -61,11 +71,8 @@ def stream_then_read(spark: SparkSession, sf: str) -> DataFrame:
     event as of its own time from the state. Must equal the batch table."""
     events = materialize(ev(spark, sf))
     state, _ = _state_with_labels(spark, events)
-    inbox = scratch_path(spark, "events")
     ranges = _day_ranges(events)
-    _publish_batches(events, inbox, [*reversed(ranges), ranges[-1]])
-    source = MessageSource(path=inbox, max_files_per_batch=1).read(spark)
-    run_available(source, ingest_events(state), checkpoint_path(spark, "events"))
+    _deliver(events, [*reversed(ranges), ranges[-1]], ingest_events(state), "events")
     return rounded(FeatureState(state.root, trim_history=False).features(events))
 
 
@@ -73,10 +80,8 @@ def stream_interleaved(spark: SparkSession, sf: str) -> DataFrame:
     """Mode B: features written batch by batch, in event order, from trimmed history."""
     events = materialize(ev(spark, sf))
     state, _ = _state_with_labels(spark, events)
-    inbox, out = scratch_path(spark, "events"), scratch_path(spark, "features")
-    _publish_batches(events, inbox, _day_ranges(events))
-    source = MessageSource(path=inbox, max_files_per_batch=1).read(spark)
-    run_available(source, build_features(state, out), checkpoint_path(spark, "features"))
+    out = scratch_path(spark, "features")
+    _deliver(events, _day_ranges(events), build_features(state, out), "features")
     return rounded(read_batches(spark, out).select("txn_id", *EVERYTHING))
 
 
@@ -84,10 +89,8 @@ def stream_batch_parity(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that differ between the interleaved stream and the batch table, exactly, both ways."""
     events = materialize(ev(spark, sf))
     state, labels = _state_with_labels(spark, events)
-    inbox, out = scratch_path(spark, "events"), scratch_path(spark, "features")
-    _publish_batches(events, inbox, _day_ranges(events))
-    source = MessageSource(path=inbox, max_files_per_batch=1).read(spark)
-    run_available(source, build_features(state, out), checkpoint_path(spark, "parity"))
+    out = scratch_path(spark, "features")
+    _deliver(events, _day_ranges(events), build_features(state, out), "parity")
     batch = compute_features(events, labels)
     return parity(read_batches(spark, out).select(*batch.columns), batch)
 
@@ -130,10 +133,11 @@ def decision_sink(spark: SparkSession, sf: str) -> DataFrame:
 
     inbox, out = scratch_path(spark, "records"), scratch_path(spark, "store")
     messages = encode_records(records(spark, sf))
-    publish(messages.coalesce(2), path=inbox)
-    publish(messages.filter(F.xxhash64("value") % 2 == 0).coalesce(1), path=inbox)
-    source = MessageSource(path=inbox, max_files_per_batch=1).read(spark)
-    run_available(source, sink_decisions(out), checkpoint_path(spark, "sink"))
+    checkpoint = checkpoint_path(spark, "sink")
+    publish(messages, path=inbox)
+    run_available(MessageSource(path=inbox).read(spark), sink_decisions(out), checkpoint)
+    publish(spark.read.text(inbox).filter(F.xxhash64("value") % 2 == 0), path=inbox)
+    run_available(MessageSource(path=inbox).read(spark), sink_decisions(out), checkpoint)
     return read_decisions(spark, out).groupBy(F.coalesce("action", F.lit("none")).alias("action")).agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -159,3 +159,15 @@ def test_a_batch_that_stops_before_its_ledger_entry_is_decided_the_same_way_agai
         assert sorted(map(tuple, read_batches(spark, out).collect())) == before
     got = column(read_batches(spark, out), "action")
     assert got[:4] == ["review"] * 4 and "review" not in got[4:]
+
+
+def test_all_tasks_write_and_each_delivery_is_one_batch(spark, monkeypatch):
+    from checks import streams
+    from tallyward.streaming.jobs import publish
+
+    wrote, batches = [], []
+    monkeypatch.setattr(streams, "publish", lambda m, path: (wrote.append(m.rdd.getNumPartitions()), publish(m, path=path)))
+    rows = events(spark, [("c", 86_400 * i, 5) for i in range(20)]).repartition(4)
+    rows = rows.withColumns({"ip": F.lit(None).cast("string"), "currency": F.lit("USD"), "channel": F.lit("ecom")})
+    streams._deliver(rows, streams._day_ranges(rows), lambda b, n: batches.append((n, b.count())), "test")
+    assert wrote == [4, 4] and batches == [(0, 10), (1, 10)]
