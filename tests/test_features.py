@@ -192,3 +192,18 @@ def test_kept_columns_travel_with_the_features(spark):
     assert "hashpartitioning(txn_id" not in plan
     wanted = ["card_txn_count_1h", "device_age_days"]
     assert compute_features(df, only=wanted).columns == ["txn_id", *wanted]
+
+
+def test_naive_windows_equal_joins_of_busy_entities(spark):
+    """Both ways agree, and the quiet way shuffles rows once per entity instead of joining every group."""
+    rng = random.Random(5)
+    rows = [
+        (f"c{rng.randrange(3)}", rng.randrange(9 * 86_400), rng.randrange(1, 99), rng.choice(["d1", "d2", None]), f"m{rng.randrange(4)}")
+        for _ in range(120)
+    ]
+    df = events(spark, rows)
+    quiet = compute_naive_features(df, with_labels=True, policy=SkewPolicy(enabled=False))
+    busy = compute_naive_features(df, with_labels=True, policy=BUSY)
+    assert parity(quiet, busy).first()[:] == (0, 0)
+    plan = quiet._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") <= 4
