@@ -155,17 +155,22 @@ def _unknown_keys(value: str, schema: T.StructType) -> Column:
     return F.size(F.array_except(keys, known)) == 0
 
 
+def parsed_once(messages: DataFrame, schema: T.StructType, options: dict[str, str]) -> DataFrame:
+    """``value`` and its fields.
+
+    The parsed message leaves a generator: a later filter stays above it, where it would else be carried below the
+    parsing and parse (and encode) the message again for every field that it names.
+    """
+    one = F.explode(F.array(F.from_json("value", schema, options)))
+    return messages.select("value", one.alias("_m")).select("value", "_m.*")
+
+
 def decode_events(messages: DataFrame, *, for_scoring: bool = False) -> DataFrame:
     """Parse and check messages: typed columns plus ``errors``, empty for a good message.
 
     ``for_scoring`` also refuses a label, which cannot exist yet at decision time.
     """
-    parsed = messages.select(
-        "value",
-        F.from_json("value", EVENT_MESSAGE, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias(
-            "_m"
-        ),
-    ).select("value", "_m.*")
+    parsed = parsed_once(messages, EVENT_MESSAGE, {"columnNameOfCorruptRecord": "_corrupt_record"})
     amount = F.col("amount")
     values = F.coalesce(F.map_values("attributes"), F.array().cast("array<string>"))
     checks = {
@@ -201,12 +206,7 @@ def decode_events(messages: DataFrame, *, for_scoring: bool = False) -> DataFram
 
 def decode_labels(messages: DataFrame) -> DataFrame:
     """Parse and check label messages; a label may not precede its transaction."""
-    parsed = messages.select(
-        "value",
-        F.from_json("value", LABEL_MESSAGE, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias(
-            "_m"
-        ),
-    ).select("value", "_m.*")
+    parsed = parsed_once(messages, LABEL_MESSAGE, {"columnNameOfCorruptRecord": "_corrupt_record"})
     checks = {
         "malformed": F.col("_corrupt_record").isNull(),
         "unknown_field": _unknown_keys("value", LABEL_MESSAGE),

@@ -176,6 +176,14 @@ def test_malformed_messages_are_quarantined(spark):
     assert row["errors"] == ["label_before_event"]
 
 
+def test_messages_are_parsed_once(spark, capsys):
+    """A filter on parsed fields stays above the parsing: below it, each field would parse the message again."""
+    events = _canonical(spark)
+    contracts.accepted(contracts.decode_events(contracts.event_to_json(events))).select("txn_id").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("from_json(") == 1
+
+
 def test_timeline_puts_labels_first_and_stops(spark):
     table = events(spark, [("c", 0, 1), ("c", 10, 1), ("c", 20, 1)])
     labels = table.select("txn_id", F.col("event_ts").alias("label_ts")).filter("txn_id = 't001'")
