@@ -166,6 +166,35 @@ def test_calibrators(spark):
         cal.fit_calibrator("magic", df, "score")
 
 
+@pytest.mark.parametrize("share", [0.0, 0.31, 0.5, 0.75, 1.0])
+def test_split_by_time(spark, share):
+    """Only the day of the cut is put in order; null times come first and ties go by id."""
+    times = [None, 5, 86_400_000, 86_400_000, 86_400_007, 90_000_000, 86_400_000 * 2, 86_400_000 * 2]
+    rows = [(f"t{9 - i}", t, bool(i % 2), 0.1 * i) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "txn_id string, event_ms long, is_fraud boolean, score double")
+    early, late = cal.split_by_time(df, share)
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
+    cut = round(len(rows) * share)
+    assert {r["txn_id"] for r in early.collect()} == set(order[:cut])
+    assert sorted(r["txn_id"] for r in late.collect()) == sorted(order[cut:])
+
+
+def test_precision_recall_reads_the_rows_once(spark):
+    """The positives come from the counted steps; they came from a second pass over the rows."""
+    df = scores(spark, [1, 0, 1, 0], [0.9, 0.9, 0.4, 0.2])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    out = ev.precision_recall_points(df.repartition(2).mapInPandas(count, df.schema), "score")
+    got = {r["score"]: (r["precision"], r["recall"]) for r in out.collect()}
+    assert got == {0.9: (0.5, 0.5), 0.4: (pytest.approx(2 / 3), 1.0), 0.2: (0.5, 1.0)}
+    assert seen.value == 4
+
+
 def test_isotonic_interpolates_and_clips(spark):
     curve = cal.isotonic_curve(spark.createDataFrame([(0.2, 0.1), (0.6, 0.5)], "x double, y double"))
     df = scores(spark, [0] * 6, [0.0, 0.4, 0.6, 1.0, float("nan"), 0.4]).union(
