@@ -176,9 +176,9 @@ SCORES_PER_GROUP = 100_000
 DRAW_BLOCK = 25
 
 
-def _uniforms(group: pd.DataFrame, resample: int, label: int, seed: int) -> np.ndarray:
-    """A draw in (0, 1) per score that depends on seed, resample, score and label, and on nothing else."""
-    x = (group["_score"].to_numpy(dtype=np.float64) + 0.0).view(np.uint64).copy()
+def _uniforms(score: np.ndarray, resample: int, label: int, seed: int) -> np.ndarray:
+    """A draw in (0, 1) per score (its bits) that depends on seed, resample, score and label, and on nothing else."""
+    x = score.copy()
     stem = (seed * 0x9E3779B97F4A7C15 + resample * 0xD1342543DE82EF95 + label * 0x632BE59BD9B4E019) % (1 << 64)
     for shift in (30, 27):
         x ^= np.uint64(stem)
@@ -188,11 +188,13 @@ def _uniforms(group: pd.DataFrame, resample: int, label: int, seed: int) -> np.n
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-#: Summed probabilities by mean, kept per task. A plain table: a wrapper of the standard library would be pickled by name.
-POISSON_STEPS: dict[int, tuple[int, np.ndarray]] = {}
+#: Summed probabilities by mean, and where each cell of draws begins among them. Kept per task, in a plain table: a
+#: wrapper of the standard library would be pickled by name.
+POISSON_STEPS: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+DRAW_CELLS = 4_096
 
 
-def _poisson_steps(mean: int) -> tuple[int, np.ndarray]:
+def _poisson_steps(mean: int) -> tuple[int, np.ndarray, np.ndarray]:
     if mean not in POISSON_STEPS:
         if len(POISSON_STEPS) >= 4096:
             POISSON_STEPS.clear()
@@ -200,35 +202,43 @@ def _poisson_steps(mean: int) -> tuple[int, np.ndarray]:
         low = max(0, mean - reach)
         values = np.arange(low, mean + reach + 1)
         logs = values * math.log(mean) - mean - np.array([math.lgamma(v + 1) for v in values])
-        POISSON_STEPS[mean] = low, np.cumsum(np.exp(logs))
+        steps = np.cumsum(np.exp(logs))
+        ends = np.searchsorted(steps, np.arange(DRAW_CELLS + 1) / DRAW_CELLS)
+        # the quantile of all draws in a cell, or -1 where a step lies inside
+        cells = np.where(ends[:-1] == ends[1:], np.minimum(ends[:-1], len(steps) - 1), -1)
+        POISSON_STEPS[mean] = low, steps, cells
     return POISSON_STEPS[mean]
 
 
 def _poisson(mean: int, u: np.ndarray) -> np.ndarray:
     """Poisson quantiles of uniform draws, from the summed probabilities around the mean."""
-    low, steps = _poisson_steps(mean)
-    return low + np.minimum(np.searchsorted(steps, u), len(steps) - 1)
+    low, steps, cells = _poisson_steps(mean)
+    found = cells[(u * DRAW_CELLS).astype(np.int64)]
+    open_ = np.flatnonzero(found < 0)
+    found[open_] = np.minimum(np.searchsorted(steps, u[open_]), len(steps) - 1)
+    return low + found
 
 
 def _resample_blocks(
     group: pd.DataFrame, resamples: int, seed: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first resample, positives, rows) blocks: Poisson weights of one score range.
+    """(first resample, positives, rows) blocks: Poisson weights of one score range, a line per resample.
 
     The weight of ``n`` equal rows is Poisson(n), the sum of one Poisson(1) per row. It is a quantile of
     a hash of (seed, resample, score, label): ranges and partitioning only balance the work.
     """
+    score = (group["_score"].to_numpy(dtype=np.float64) + 0.0).view(np.uint64)
     pos = group["pos"].to_numpy()
     counts = (pos, group["n"].to_numpy() - pos)
     sizes = [[(int(m), np.flatnonzero(c == m)) for m in np.unique(c) if m > 0] for c in counts]
     for start in range(0, resamples, DRAW_BLOCK):
         block = range(start, min(resamples, start + DRAW_BLOCK))
-        drawn = np.zeros((2, len(group), len(block)), dtype=np.int64)
+        drawn = np.zeros((2, len(block), len(group)), dtype=np.int64)
         for label, by_size in enumerate(sizes):
-            for k, resample in enumerate(block):
-                u = _uniforms(group, resample, label, seed)
-                for mean, rows in by_size:
-                    drawn[label, rows, k] = _poisson(mean, u[rows])
+            for mean, rows in by_size:  # drawn only where a score has rows of the label
+                x = score[rows]
+                for k, resample in enumerate(block):
+                    drawn[label, k, rows] = _poisson(mean, _uniforms(x, resample, label, seed))
         yield start, drawn[0], drawn[0] + drawn[1]
 
 
@@ -262,7 +272,7 @@ def bootstrap_pr_auc(
     def totals_of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_score", ascending=False)
         parts = [
-            pd.DataFrame({"_b": np.arange(b, b + p.shape[1]), "pos": p.sum(0), "n": n.sum(0)})
+            pd.DataFrame({"_b": np.arange(b, b + len(p)), "pos": p.sum(1), "n": n.sum(1)})
             for b, p, n in _resample_blocks(group, resamples, seed)
         ]
         out = pd.concat(parts, ignore_index=True)
@@ -291,10 +301,13 @@ def bootstrap_pr_auc(
         before = before.sort_values("_b")
         parts = []
         for b, p, n in _resample_blocks(group, resamples, seed):
-            over = before.iloc[b : b + p.shape[1]]
-            tp = p.cumsum(0) + over["before_pos"].to_numpy()
-            seen = n.cumsum(0) + over["before_n"].to_numpy()
-            area = (p * np.divide(tp, seen, out=np.zeros(p.shape), where=seen > 0)).sum(0)
+            over = before.iloc[b : b + len(p)]
+            area = np.zeros(len(p))
+            for k, (tp0, n0) in enumerate(zip(over["before_pos"], over["before_n"], strict=True)):
+                held = np.flatnonzero(p[k])  # only drawn positives add to the area, and they have rows above
+                tp = p[k].cumsum()[held] + tp0
+                seen = n[k].cumsum()[held] + n0
+                area[k] = (p[k][held] * (tp / seen)).sum()
             parts.append(pd.DataFrame({"_b": over["_b"].to_numpy(), "area": area}))
         out = pd.concat(parts, ignore_index=True)
         return out.assign(**{c: group[c].iloc[0] for c in key})[[*key, "_b", "area"]]
