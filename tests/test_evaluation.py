@@ -361,3 +361,13 @@ def test_report_rows_are_json_lines_with_all_keys(spark, tmp_path):
         {"split": "test", "metric": "a", "value": 1.5},
         {"split": "test", "metric": "b", "value": None},
     ]
+
+
+def test_bootstrap_draws_only_where_rows_are(monkeypatch):
+    """One draw per score, label that it has, and resample; as many draws as scores for both labels before."""
+    drawn = []
+    draw = ev._uniforms
+    monkeypatch.setattr(ev, "_uniforms", lambda x, *a: drawn.append(len(x)) or draw(x, *a))
+    group = pd.DataFrame({"_score": [0.9, 0.5, 0.1], "pos": [1, 0, 0], "n": [1, 1, 2]})
+    list(ev._resample_blocks(group, 4, 7))
+    assert sum(drawn) == 4 * 3
