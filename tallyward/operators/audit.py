@@ -40,10 +40,10 @@ def leakage_audit(
     Point-in-time features change nowhere; a changed column reads the future.
     """
     past = events.filter(event_ms() < cutoff_ms)
-    whole = features(events).join(past.select("txn_id"), "txn_id", "left_semi")
     alone = features(past)
     columns = [c for c in alone.columns if c != "txn_id"]
-    return differing_columns(whole, alone, "txn_id", columns)
+    # rows after the cutoff meet no row of the past
+    return differing_columns(features(events), alone, "txn_id", columns)
 
 
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -207,3 +207,12 @@ def test_naive_windows_equal_joins_of_busy_entities(spark):
     assert parity(quiet, busy).first()[:] == (0, 0)
     plan = quiet._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") <= 4
+
+
+def test_audit_joins_the_tables_only(spark, capsys):
+    """What lies after the cutoff meets nothing of the past: no join of its own takes it out."""
+    table = events(spark, [("c1", 0, 5.0), ("c1", 60, 7.0), ("c1", 120, 9.0)])
+    audit = leakage_audit(table, lambda e: e.select("txn_id", "amount"), 10**15)
+    audit.explain()
+    assert "LeftSemi" not in capsys.readouterr().out
+    assert [tuple(r) for r in audit.collect()] == [("amount", 0)]
