@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,3 +285,18 @@ def test_a_blocklist_as_long_as_the_data(spark, tmp_path):
     want = li(spark, str(tmp_path)).filter(even).count()
     out = override_long_lists(spark, str(tmp_path))
     assert out.filter(F.col("forced") == "block").count() == want > 0
+
+
+@pytest.mark.parametrize("query", ["policy_sweep", "tuned_sensitivity"])
+def test_order_lines_meet_their_orders_once(spark, monkeypatch, query):
+    """The sweeps read one written table; each part of them joined the orders by itself before."""
+    from checks import common
+    from checks import policy as queries
+
+    made = []
+    read = common.lineitem_transactions
+    monkeypatch.setattr(common, "lineitem_transactions", lambda *a: made.append(a) or read(*a))
+    monkeypatch.setattr(queries, "run_policy_sweep", lambda rows, fired, **_: SimpleNamespace(outcomes=rows))
+    monkeypatch.setattr(queries, "tune_under_variants", lambda tune, test, *_: test)
+    assert queries.QUERIES[query](spark, "/root/testdata/sf0.001").columns
+    assert len(made) == 1
