@@ -4,10 +4,12 @@ import pytest
 from helpers import LABELS, at, column, events
 from pyspark.sql import functions as F
 
+from tallyward.operators import features, timeline
 from tallyward.operators.audit import leakage_audit, parity
 from tallyward.operators.features import compute_features, feature_names, smoothed_rate
 from tallyward.operators.naive import compute_naive_features
 from tallyward.operators.timeline import Additive, check_windows
+from tallyward.session import materialize
 from tallyward.settings import DAY_MS, WINDOWS_MS, SkewPolicy
 
 BUSY = SkewPolicy(rows_per_period=0)
@@ -216,3 +218,50 @@ def test_audit_joins_the_tables_only(spark, capsys):
     audit.explain()
     assert "LeftSemi" not in capsys.readouterr().out
     assert [tuple(r) for r in audit.collect()] == [("amount", 0)]
+
+
+def _months(spark, seed, n=150):
+    """Rows of few cards over 80 days, with ties, and labels of a third of them."""
+    rng = random.Random(seed)
+    rows = [
+        (rng.choice("abc"), rng.randrange(80 * 24) * 3_600 + rng.choice([0, 0, 1, 1_800]), rng.choice([0.1, 9.99]),
+         rng.choice(["d1", "d2", None]), rng.choice(["m1", "m2", "m3"]))
+        for _ in range(n)
+    ]
+    rows += [(c, s + rng.choice([0, 1, 86_400]), *more) for c, s, *more in rows[: n // 3]]
+    labels = [(f"t{i:03d}", c, m, at(s), at(s + rng.randrange(20 * 86_400)), i % 2 == 0) for i, (c, s, _, _, m) in enumerate(rows[::3])]
+    return events(spark, rows), spark.createDataFrame(labels, LABELS)
+
+
+@pytest.mark.parametrize("rows_per_chunk", [0, 2_000], ids=["hours", "periods"])
+def test_chunks_of_either_length_equal_plain_windows(spark, rows_per_chunk):
+    table, labels = _months(spark, 6)
+    busy = compute_features(table, labels, policy=SkewPolicy(rows_per_period=0, rows_per_chunk=rows_per_chunk))
+    plain = compute_features(table, labels, policy=SkewPolicy(enabled=False))
+    assert parity(busy, plain).first()[:] == (0, 0)
+
+
+def test_busy_entities_write_rows_once_per_stage(spark, monkeypatch):
+    """Marks of windows are not written: the tables that are hold about one row per event and stage."""
+    written = []
+
+    def counting(df):
+        out = materialize(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(features, "materialize", counting)
+    monkeypatch.setattr(timeline, "materialize", counting)
+    table, labels = _months(spark, 7)
+    compute_features(table, labels, policy=BUSY).count()
+    assert sum(written) <= 5 * table.count()
+
+
+def test_many_busy_keys_are_counted_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(timeline, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    keys = timeline.busy_entities(
+        features._narrow(_months(spark, 8)[0], []), ["card_id", "device_id"], "_ms", SkewPolicy(rows_per_period=0, max_broadcast_keys=1)
+    )
+    assert len(written) == 1
+    assert {e: (k.keys.count(), k.small) for e, k in keys.items()} == {"card_id": (3, False), "device_id": (2, False)}
