@@ -9,8 +9,9 @@ from tallyward.operators.audit import leakage_audit, parity
 from tallyward.operators.features import compute_features, feature_names, smoothed_rate
 from tallyward.operators.naive import compute_naive_features
 from tallyward.operators.timeline import Additive, check_windows
+from tallyward.operators.prep import with_fraud_delay
 from tallyward.session import materialize
-from tallyward.settings import DAY_MS, WINDOWS_MS, SkewPolicy
+from tallyward.settings import DAY_MS, WINDOWS_MS, LabelDelay, SkewPolicy
 
 BUSY = SkewPolicy(rows_per_period=0)
 WAYS = [SkewPolicy(enabled=False), BUSY]
@@ -265,3 +266,33 @@ def test_many_busy_keys_are_counted_once(spark, monkeypatch):
     )
     assert len(written) == 1
     assert {e: (k.keys.count(), k.small) for e, k in keys.items()} == {"card_id": (3, False), "device_id": (2, False)}
+
+
+def test_busy_cards_total_only_what_is_wanted(spark, monkeypatch):
+    made = []
+
+    def recording(rows, entity, time, additive, distinct, *more):
+        made.extend(s.name for s in (*additive, *distinct))
+        return timeline.chunked(rows, entity, time, additive, distinct, *more)
+
+    monkeypatch.setattr(features, "chunked", recording)
+    table, labels = _months(spark, 9)
+    wanted = ["card_prior_fraud_labels", "merchant_known_labels", "merchant_known_fraud_rate"]
+    out = compute_features(table, labels, policy=BUSY, only=wanted)
+    assert made == ["card_prior_fraud_labels"]
+    assert parity(out, compute_features(table, labels, policy=SkewPolicy(enabled=False)).select(*out.columns)).first()[:] == (0, 0)
+
+
+def test_every_feature_alone_equals_the_table(spark):
+    table, labels = _months(spark, 10, n=40)
+    whole = compute_features(table, labels, policy=SkewPolicy(enabled=False)).cache()
+    for wanted in (["card_amount_sum_7d"], ["amount_zscore_30d"], ["card_merchant_seen_before", "device_age_days"], ["device_distinct_cards_7d"]):
+        out = compute_features(table, labels, policy=BUSY, only=wanted)
+        assert parity(out, whole.select("txn_id", *wanted)).first()[:] == (0, 0)
+
+
+def test_delays_are_drawn_for_frauds_only(spark):
+    rows = events(spark, [("c", s, 1) for s in range(4)]).withColumn("is_fraud", F.col("event_ts") < F.lit(at(2)))
+    drawn = with_fraud_delay(rows, LabelDelay(), where=F.col("is_fraud"))
+    every = with_fraud_delay(rows, LabelDelay())
+    assert column(drawn, "delay_days") == [*column(every, "delay_days")[:2], None, None]
