@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.common import li
+from tallyward.operators.calibration import expected_calibration_error
+from tallyward.operators.evaluation import bootstrap_pr_auc, ranking_metrics
 from tallyward.operators.model import ModelBundle
+from tallyward.plans import rules_baseline, training
 from tallyward.plans.leakage import run_leakage_experiment
 from tallyward.plans.sweep import EXPECTED_LOSS, read_tuned_policy, run_policy_sweep, score_frame, tuned_policy, write_tuned_policy
 from tallyward.plans.training import train_model
@@ -53,3 +56,43 @@ def test_leakage_variants_are_judged_on_equal_windows(spark):
     assert len(results) == 5 and len({r["variant"] for r in results}) == 5
     by = {r["variant"]: r for r in results}
     assert all(0 <= r["pr_auc"] <= 1 for r in results if r["pr_auc"] is not None), by
+
+
+def test_training_makes_features_once(spark, monkeypatch):
+    """Rules are scored on the model frame, labels of the maturity check come from it."""
+    calls = []
+    for module in (training, rules_baseline):
+        made = module.compute_features
+        monkeypatch.setattr(module, "compute_features", lambda *a, _made=made, **k: calls.append(1) or _made(*a, **k))
+    result = train_model(li(spark, SF), settings=SMALL)
+    assert len(calls) == 1
+    rules, _ = rules_baseline.score_rules(li(spark, SF))
+    want = rules.filter("split = 'test'").select("txn_id", F.col("rules_fired").cast("double"))
+    got = result.scores.filter("scorer = 'rules'").select("txn_id", "score")
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty() and not got.isEmpty()
+
+
+def test_metrics_from_one_table_of_steps(spark):
+    """Equal to the metrics of each scorer's rows, ties over the edges of bins included."""
+    rows = [
+        (name, f"t{i}", (i * 7919) % 100, i % 3 == 0 or (i % 7 == 0 and i > n // 2), score(i, n))
+        for name, n, score in (
+            ("logistic", 311, lambda i, n: ((i * 37) % n) / n),
+            ("trees_raw", 200, lambda i, n: ((i * 37) % 4) / 8),
+            ("trees_isotonic", 47, lambda i, n: 0.25),
+            ("trees_platt", 9, lambda i, n: i / 9),
+            ("rules", 60, lambda i, n: float(i % 3)),
+        )
+        for i in range(n)
+    ]
+    scores = spark.createDataFrame(rows, "scorer string, txn_id string, event_ms long, is_fraud boolean, score double")
+    got = {r["scorer"]: r for r in training.scorer_metrics(scores, SMALL).collect()}
+    assert set(got) == set(training.SCORERS) and got["rules"]["ece"] is None
+    for name in training.PROBABILITY_SCORERS:
+        one = scores.filter(F.col("scorer") == name)
+        assert got[name]["ece"] == pytest.approx(expected_calibration_error(one, "score").first()["ece"]), name
+    ranking = {r["scorer"]: r for r in ranking_metrics(scores, "score", ["scorer"]).collect()}
+    interval = {r["scorer"]: r for r in bootstrap_pr_auc(scores, "score", resamples=5, seed=7, by=["scorer"]).collect()}
+    for name in got:
+        assert got[name]["pr_auc"] == ranking[name]["pr_auc"]
+        assert got[name]["pr_auc_ci_low"] == interval[name]["pr_auc_ci_low"]
