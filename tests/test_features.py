@@ -4,6 +4,7 @@ import pytest
 from helpers import LABELS, at, column, events
 from pyspark.sql import functions as F
 
+from tallyward.functions.columns import packed, unpacked
 from tallyward.operators import features, timeline
 from tallyward.operators.audit import leakage_audit, parity
 from tallyward.operators.features import compute_features, feature_names, smoothed_rate
@@ -296,3 +297,17 @@ def test_delays_are_drawn_for_frauds_only(spark):
     drawn = with_fraud_delay(rows, LabelDelay(), where=F.col("is_fraud"))
     every = with_fraud_delay(rows, LabelDelay())
     assert column(drawn, "delay_days") == [*column(every, "delay_days")[:2], None, None]
+
+
+def test_ids_and_kept_columns_travel_packed(spark):
+    """Ids of digits and dashes take half a byte each; any text, time and amount comes back as it was."""
+    texts = ["", "-", "0", "00", "-1-", "123-4-567", "12a", "f", "ff", "FA", "é", "\x00", "\x000", "0\n", " 1", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packed(F.col("t")).alias("p"))
+    rows = df.select("t", F.length("p").alias("n"), unpacked(F.col("p")).alias("u")).collect()
+    assert [r["u"] for r in rows] == texts
+    assert {r["t"]: r["n"] for r in rows}["123-4-567"] == 5
+    made = events(spark, [("c1", 0.0, 5.25, "d1", "m1"), ("c1", 1.000001, 7.5, None, "m2"), ("c2", -1.5, 0.1)])
+    made = made.withColumn("txn_id", F.when(F.col("card_id") == "c2", "x y").otherwise(F.regexp_replace("txn_id", "t", "8-")))
+    keep = ["txn_id", "event_ts", "amount", "is_fraud", "card_id"]
+    for table in (features.compute_features(made, keep=keep), compute_naive_features(made, keep=keep)):
+        assert sorted(table.select(*keep).collect()) == sorted(made.select(*keep).collect())
