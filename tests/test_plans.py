@@ -8,11 +8,11 @@ from tallyward.operators.calibration import expected_calibration_error
 from tallyward.operators.evaluation import bootstrap_pr_auc, ranking_metrics
 from tallyward.operators.model import ModelBundle
 from tallyward.plans import rules_baseline, training
-from tallyward.plans.leakage import run_leakage_experiment
+from tallyward.plans.leakage import leakage_frames, run_leakage_experiment, shuffled_split
 from tallyward.plans.sweep import EXPECTED_LOSS, read_tuned_policy, run_policy_sweep, score_frame, tuned_policy, write_tuned_policy
 from tallyward.plans.training import train_model
 from tallyward.session import scratch_path
-from tallyward.settings import CostModel, ModelSettings, Overrides, PolicySettings, serving_policy
+from tallyward.settings import DEFAULT_SPLITS, CostModel, LabelDelay, ModelSettings, Overrides, PolicySettings, serving_policy
 
 SF = "/root/testdata/sf0.001"
 SMALL = ModelSettings(max_iter=2, max_depth=2, bootstrap_resamples=5, calibration="platt")
@@ -96,3 +96,17 @@ def test_metrics_from_one_table_of_steps(spark):
     for name in got:
         assert got[name]["pr_auc"] == ranking[name]["pr_auc"]
         assert got[name]["pr_auc_ci_low"] == interval[name]["pr_auc_ci_low"]
+
+
+def test_leakage_frames_need_no_join(spark):
+    """Each row is written once per features with both splits; the dealt one is that of ``shuffled_split``."""
+    events = li(spark, SF)
+    frames = leakage_frames(events, DEFAULT_SPLITS, LabelDelay(), SMALL)
+    want = shuffled_split(frames["temporal", "naive"], SMALL.seed)
+    for mode in ("point_in_time", "naive"):
+        frame = frames["random", mode]
+        assert "Join" not in frame._jdf.queryExecution().toString()
+        got = frame.select("txn_id", "split")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        base = ["txn_id", "event_ts", "amount", "is_fraud", "attr_C1"]
+        assert frame.select(base).exceptAll(events.select(base)).isEmpty() and frame.count() == events.count()
